@@ -18,6 +18,8 @@ texts share a component; an empty table gives an empty result; columns but the i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -149,6 +151,37 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
 
 
+def relabelled(df: DataFrame, labels: DataFrame, old: str) -> DataFrame:
+    """``df`` with the label of each id, or what ``old`` says where it is in no component yet."""
+    return df.join(labels.withColumnRenamed("label", "__label"), "id", "left").withColumn("label", F.coalesce("__label", old)).drop("__label")
+
+
+def open_pairs(left: DataFrame, sets: DataFrame, stage: Stage, most: int, of: int, fits: Callable) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that can be links, given the bucket's pivot ``c``.
+
+    What two members share lies inside the pivot's set or outside it. Without a shared shingle outside, their
+    intersection is no larger than either one's intersection with the pivot. So a pair is open only if those two are
+    large enough for its sizes, or if it shares a shingle that the pivot lacks; such shingles are rare among copies,
+    and joining on them makes few pairs where all pairs of a bucket would grow with its square.
+    """
+    to_pivot = left.select("c", "id").distinct()
+    apart = to_pivot.join(sets.withColumnRenamed("s", "sx"), "id").join(sets.select(F.col("id").alias("c"), F.col("s").alias("sc")), "c")
+    apart = stage.write(apart.select("c", "id", F.size(F.array_intersect("sx", "sc")).cast("long").alias("i"), F.array_except("sx", "sc").alias("out")))
+    pair = lambda df, key, also: (df.select(*key, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label", "most", *also))) for s in "ab")
+    differ = f"id_a < id_b AND label_a <> label_b AND {fits(('most_a', 'n_a'), ('most_b', 'n_b'))}"
+    least = left.groupBy("band").agg(F.min("n").alias("n_least"))
+    near = left.join(apart.select("c", "id", "i"), ["c", "id"]).join(least, "band").filter(f"{of} * i >= {most} * (n + n_least - i)")
+    x, y = pair(near, ["band"], ["i"])
+    inside = x.join(y, "band").filter(f"{differ} AND {of} * least(i_a, i_b) >= {most} * (n_a + n_b - least(i_a, i_b))")
+    rare = apart.select("c", "id", F.explode("out").alias("e"))
+    shared = rare.groupBy("c", "e").agg(F.count("*").alias("k")).filter("k > 1").select("c", "e")
+    rare = rare.join(shared, ["c", "e"]).join(left.select("id", "n", "label", "most").distinct(), "id")
+    x, y = pair(rare, ["c", "e"], [])
+    outside = x.join(y, ["c", "e"]).filter(differ)
+    ends = [F.col("id_a").alias("a"), F.col("id_b").alias("b")]
+    return inside.select(*ends).union(outside.select(*ends)).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least id reachable over links), kept."""
     most, of = threshold
@@ -165,15 +198,31 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: tuple[int, int] =
     sets = stage.write(slim.join(named, "doc_id", "left_semi").mapInArrow(shingle_sets(k), "id long, s array<long>"))
     edges = stage.write(linked(star, sets, most, of))
     labels = stage.write(components(edges, stage))
-    told = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    told = relabelled(members, labels, "id")
     mixed = told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    open_ = stage.write(told.join(mixed, "band", "left_semi").select("band", "id", "n", "label"))
-    x, y = (open_.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label"))) for s in "ab")
-    rest = x.join(y, "band").filter(f"id_a < id_b AND label_a <> label_b AND {alike('n_a', 'n_b')}").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    found = stage.write(told.join(mixed, "band", "left_semi").select("band", "id", "n", "label"))
+    # a shingle that no other open document has is in no intersection: so many can be shared at most, and the union is
+    # at least the rest. Copies with too many edits of their own fall out here, before any pair is made
+    each = sets.join(found.select("id").distinct(), "id", "left_semi").select("id", F.explode("s").alias("e"))
+    own = each.groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    open_ = stage.write(found.join(own, "id", "left").select("band", "id", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")).filter(f"{of} * most >= {most} * n"))
+    # the member with the fewest shingles of its own stands nearest to what a bucket's members were copied from
+    fits = lambda x, y: f"{of} * least({x[0]}, {y[0]}) >= {most} * ({x[1]} + {y[1]} - least({x[0]}, {y[0]}))"
+    central = open_.groupBy("band").agg(F.min_by(F.struct("id", "n", "label", "most"), F.struct((F.col("n") - F.col("most")) / F.col("n"), "id")).alias("h"))
+    second = open_.join(central, "band").filter(f"label <> h.label AND {fits(('most', 'n'), ('h.most', 'h.n'))}")
+    second = second.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    second = stage.write(second)
+    edges = stage.write(edges.union(linked(second, sets, most, of)))
+    labels = stage.write(components(edges, stage))
+    left = relabelled(open_, labels, "label")
+    mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+    pivot = central.select("band", F.col("h.id").alias("c"))
+    left = stage.write(left.join(mixed, "band", "left_semi").join(pivot, "band"))
+    rest = stage.write(open_pairs(left, sets, stage, most, of, fits).join(star.union(second), ["a", "b"], "left_anti"))
     more = stage.write(linked(rest, sets, most, of))
     if not more.isEmpty():
         labels = stage.write(components(edges.union(more), stage))
-    stage.drop(members, sets, open_)
+    stage.drop(members, sets, found, open_, left)
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("d1", "d2", F.coalesce("label", "rep").alias("label"))
     out = fp.join(of_class, ["d1", "d2"], "left")
     comp = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id"))
