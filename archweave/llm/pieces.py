@@ -16,11 +16,12 @@ bytes so that it survives; texts are read whole; repeated rows give repeated res
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
+from operator import add
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE, VARIANTS = 17, 0.1, 2
 VARIANT_STEP, GOLDEN, MASK = 1_000_003, 0x9E3779B97F4A7C15, 2**64 - 1
+#: Chunks up to SHORT signs are scanned and remembered, KNOWN of them per variant.
+SHORT, KNOWN, NEVER = 48, 300_000, float("inf")
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ▁]+|▁| +")
 
@@ -43,56 +46,88 @@ class Codec:
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         ids = range(sp.get_piece_size())
-        self.rank = {sp.id_to_piece(i): (-sp.get_score(i), i) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        plain = {sp.id_to_piece(i): i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        self.id, self.rank = plain.get, {piece: -sp.get_score(i) for piece, i in plain.items()}.get
+        self.known: dict[int, dict[str, tuple[int, ...]]] = defaultdict(dict)
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.raw = [sp.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
         self.seed, self.bar = seed, int(rate * 2**64)
-        self.chunk = lru_cache(250_000)(self._chunk)
 
     def _chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
         if chunk == SPACE:
             return tuple(self.byte[b] for b in chunk.encode())
         text = chunk.replace(" ", SPACE)
-        n, rank, bar = len(text), self.rank.get, self.bar
+        bar = self.bar
         key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=self.seed * VARIANT_STEP + variant) if bar else 0
+        out: list[int] = []
+        for symbol in self._short(text, key) if len(text) <= SHORT else self._long(text, key):
+            if hit := self.id(symbol):
+                out.append(hit)
+            else:
+                out += [self.byte[b] for b in symbol.replace(SPACE, " ").encode("utf-8", "surrogatepass")]
+        return tuple(out)
+
+    def _short(self, text: str, key: int) -> list[str]:
+        """The agenda as a list in text order: its least rank is the next candidate, the first of them on ties."""
+        rank, bar = self.rank, self.bar
+        symbols, starts = list(text), list(range(len(text) + 1))
+        agenda = [rank(pair, NEVER) for pair in map(add, text, text[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            if bar and ((key ^ (starts[i] << 32 | starts[i + 2])) * GOLDEN & MASK) < bar:
+                agenda[i] = NEVER
+                continue
+            symbols[i] += symbols.pop(i + 1)
+            del starts[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
+        return symbols
+
+    def _long(self, text: str, key: int) -> Iterator[str]:
+        """The agenda as a heap, for chunks whose length would make scans slow; candidates and skips are the same."""
+        n, rank, bar = len(text), self.rank, self.bar
         left, right = list(range(-1, n)), list(range(1, n + 1))  # by where a symbol starts: the start before, and its end
-        agenda = [(hit[0], i, i + 1, i + 2) for i in range(n - 1) if (hit := rank(text[i : i + 2]))]
-        heapq.heapify(agenda)
+        agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(text[i : i + 2], NEVER)) != NEVER]
+        heapify(agenda)
         while agenda:
             _, a, b, end = heappop(agenda)
             if right[a] != b or right[b] != end:  # one of the two has changed since; a merged symbol's end is set to 0
                 continue
-            if bar and ((key ^ (a << 40 | b << 20 | end)) * GOLDEN & MASK) < bar:
+            if bar and ((key ^ (a << 32 | end)) * GOLDEN & MASK) < bar:
                 continue
             right[a], right[b] = end, 0
             if end < n:
                 left[end] = a
                 c = right[end]
-                if hit := rank(text[a:c]):
-                    heappush(agenda, (hit[0], a, end, c))
+                if (r := rank(text[a:c], NEVER)) != NEVER:
+                    heappush(agenda, (r, a, end, c))
             if a:
                 c = left[a]
-                if hit := rank(text[c:end]):
-                    heappush(agenda, (hit[0], c, a, end))
-        out: list[int] = []
+                if (r := rank(text[c:end], NEVER)) != NEVER:
+                    heappush(agenda, (r, c, a, end))
         i = 0
         while i < n:
-            piece = text[i : right[i]]
-            if hit := rank(piece):
-                out.append(hit[1])
-            else:
-                out += [self.byte[b] for b in piece.replace(SPACE, " ").encode("utf-8", "surrogatepass")]
+            yield text[i : right[i]]
             i = right[i]
-        return tuple(out)
 
     def encode(self, text: str | None, variant: int = 0) -> list[int]:
         if not text:
             return []
-        chunk, out = self.chunk, []
+        known, out = self.known[variant], []
         for c in _CHUNK.findall(" " + text):
-            out += chunk(c, variant)
+            ids = known.get(c)
+            if ids is None:
+                ids = self._chunk(c, variant)
+                if len(known) < KNOWN and len(c) <= SHORT:
+                    known[c] = ids
+            out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:
