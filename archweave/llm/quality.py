@@ -42,29 +42,40 @@ def token_traits(token: str) -> tuple[int, int, int]:
     return int(bool(letters) and signs >= 2), int(len(letters) > 1 and token.upper() == token and token.lower() != token), int(not letters and signs == len(token))
 
 
-def votes(text: str | None) -> list[int]:
-    """One vote per heuristic; a text of fewer than 5 tokens leaves most of them silent."""
-    tokens = (text or "").split()
-    n = len(tokens)
+class Traits:
+    """What heuristics and scorer read of a text, counted once: each distinct token is looked at once."""
+
+    __slots__ = ("n", "counts", "signs", "caps", "cells", "stutter", "lines", "repeated", "exclaims", "mean")
+
+    def __init__(self, text: str | None):
+        tokens = (text or "").split()
+        self.n = n = len(tokens)
+        self.counts = counts = Counter(tokens)
+        signs = caps = cells = 0
+        for t, c in counts.items():
+            if not t.isalpha() or t.isupper():
+                x = token_traits(t)
+                signs, caps, cells = signs + x[0] * c, caps + x[1] * c, cells + x[2] * c
+        self.signs, self.caps, self.cells = signs, caps, cells
+        lines = [x for x in (text or "").split("\n") if x]
+        self.lines, self.repeated = len(lines), 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0
+        self.stutter = sum(map(eq, tokens, tokens[1:])) / n if n else 0.0
+        self.exclaims = text.count("!!") / n if n else 0.0
+        self.mean = sum(map(len, tokens)) / n if n else 0.0
+
+
+def votes(t: Traits) -> list[int]:
+    """One vote per heuristic; a text of fewer than 5 tokens leaves all of them silent."""
+    n = t.n
     if n < 5:
         return [0] * len(HEURISTICS)
-    counts = Counter(tokens)
-    signs = caps = cells = 0
-    for t, c in counts.items():
-        a, b, d = token_traits(t)
-        signs, caps, cells = signs + a * c, caps + b * c, cells + d * c
-    stutter = sum(map(eq, tokens, tokens[1:])) / n
-    lines = [x for x in text.split("\n") if x]
-    repeated = 1 - len(set(lines)) / len(lines) if lines else 0.0
-    exclaims = text.count("!!") / n
-    known = sum(counts.get(w, 0) for w in FUNCTION_WORDS) / n
-    mean = sum(map(len, tokens)) / n
+    known = sum(t.counts.get(w, 0) for w in FUNCTION_WORDS) / n
     # a heuristic that knows one kind of junk has nothing to say about other texts: it is silent, not in favour
     junk = lambda x, bar: -1 if x > bar else 0
     return [
-        junk(signs / n, 0.25), junk(caps / n, 0.4), junk(cells / n, 0.15), junk(stutter, 0.35), junk(repeated if len(lines) > 3 else 0.0, 0.45), junk(exclaims, 0.25),
-        0 if n < 20 else 1 if known > 0.06 else -1 if known < 0.005 else 0, 0 if n < 30 else -1 if len(counts) / n < 0.15 else 1 if signs + caps + cells < 0.02 * n and stutter < 0.05 else 0,
-        -1 if mean > 25 or mean < 2 else 0,
+        junk(t.signs / n, 0.25), junk(t.caps / n, 0.4), junk(t.cells / n, 0.15), junk(t.stutter, 0.35), junk(t.repeated, 0.45), junk(t.exclaims, 0.25),
+        0 if n < 20 else 1 if known > 0.06 else -1 if known < 0.005 else 0, 0 if n < 30 else -1 if len(t.counts) / n < 0.15 else 1 if t.signs + t.caps + t.cells < 0.02 * n and t.stutter < 0.05 else 0,
+        -1 if t.mean > 25 or t.mean < 2 else 0,
     ]
 
 
@@ -86,7 +97,7 @@ def patterns(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
         for batch in batches:
-            seen.update(pattern_of(votes(t)) for t in batch.column(0).to_pylist())
+            seen.update(pattern_of(votes(Traits(t))) for t in batch.column(0).to_pylist())
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
@@ -128,26 +139,31 @@ class LabelModel:
         return dict(zip(HEURISTICS, (right / cast).round(4).tolist(), strict=True))
 
 
-_SHAPES = [(re.compile(r"[^\W\d_]{2,}"), lambda m: "W" if m[0].isupper() else "w"), (re.compile(r"\d+"), "9")]
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]{2,}"), re.compile(r"\d+")
+_PLAIN = {False: xxhash.xxh3_64_intdigest("w") % (DIM - 64), True: xxhash.xxh3_64_intdigest("W") % (DIM - 64)}
 
 
 @lru_cache(200_000)
+def outline(token: str) -> int:
+    out = _DIGITS.sub("9", _LETTERS.sub(lambda m: "W" if m[0].isupper() else "w", token))
+    return xxhash.xxh3_64_intdigest(out[:12]) % (DIM - 64)
+
+
 def shape(token: str) -> int:
     """A token's outline, hashed: runs of letters, of digits, and signs as they are, up to 12."""
-    out = token
-    for rx, to in _SHAPES:
-        out = rx.sub(to, out)
-    return xxhash.xxh3_64_intdigest(out[:12]) % (DIM - 64)
+    return _PLAIN[token.isupper()] if len(token) > 1 and token.isalpha() else outline(token)
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed shapes with the square roots of their shares, and 64 places for stutter, repeated lines and variety."""
-    tokens = (text or "").split()
-    if len(tokens) < 5:
+def features(t: Traits) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed shapes with the square roots of their shares, and places for stutter, repeated lines and shouts."""
+    n = t.n
+    if n < 5:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    n, shares = len(tokens), Counter(map(shape, tokens))
-    lines = [x for x in text.split("\n") if x]
-    more = {DIM - 1: sum(map(eq, tokens, tokens[1:])) / n, DIM - 2: 1 - len(set(lines)) / max(1, len(lines)) if len(lines) > 3 else 0.0, DIM - 3: text.count("!!") / n}
+    shares: dict[int, int] = {}
+    for token, c in t.counts.items():
+        k = shape(token)
+        shares[k] = shares.get(k, 0) + c
+    more = {DIM - 1: t.stutter, DIM - 2: t.repeated, DIM - 3: t.exclaims}
     keys = [*shares, *more]
     return np.array(keys, np.int32), np.sqrt(np.array([*(c / n for c in shares.values()), *more.values()], np.float32))
 
@@ -174,7 +190,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.lit("quality"), F.col(id_col)).alias("h"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(0).to_pylist()
+        texts = [Traits(t) for t in batch.column(0).to_pylist()]
         keys, values = zip(*map(features, texts), strict=True)
         return pa.RecordBatch.from_arrays([pa.array([pattern_of(votes(t)) for t in texts], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], ["pattern", "keys", "shares"])
 
@@ -191,7 +207,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     model, w, b = train(docs, id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, s, weak = batch.column(1).to_pylist(), [], []
+        texts, s, weak = map(Traits, batch.column(1).to_pylist()), [], []
         known: dict[int, float] = {}
         for t in texts:
             keys, shares = features(t)
@@ -213,7 +229,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = [len(k) == 0 or float(w[k] @ s + b) >= 0 for k, s in map(features, batch.column(at).to_pylist())]
+        kept = [len(k) == 0 or float(w[k] @ s + b) >= 0 for k, s in (features(Traits(t)) for t in batch.column(at).to_pylist())]
         return batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(by_batch(run), schema)
