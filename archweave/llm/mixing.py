@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 BLOCK_DOCS, PERIOD, TEMPERATURE = 32, 2_000, 0.7
 #: Sources that one period can serve; more is an error, never a cut.
 MOST_SOURCES = 20_000
+ADDED = ("mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline")
 
 
 def ticks(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -41,8 +42,8 @@ def ticks(weights: Mapping[str, float], period: int) -> dict[str, int]:
         for s in order[:left]:
             out[s] += 1
     while (over := sum(out.values()) - period) > 0:
-        for s in sorted(out, key=lambda s: (exact[s] - out[s], s))[:over]:
-            out[s] -= out[s] > 1
+        for s in [s for s in sorted(out, key=lambda s: (exact[s] - out[s], s)) if out[s] > 1][:over]:
+            out[s] -= 1
     return out
 
 
@@ -71,25 +72,26 @@ def schedule(shares: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with mix_source, mix_block, mix_slot, mix_release, mix_deadline, in slot order across and within files.
 
+    Columns of ``docs`` that have these names are replaced; all others ride along as one value, so no name can clash.
     Broadcast are one row per source (at most MOST_SOURCES, checked) and one per slot of a period.
     """
     spark = docs.sparkSession
-    name = F.coalesce(F.col(source_col).cast("string"), F.lit("null"))
-    sizes = docs.groupBy(name.alias("mix_source")).agg(F.count("*").alias("n"))
+    rows = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("null")).alias("mix_source"), F.col(id_col).cast("string").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    sizes = rows.groupBy("mix_source").agg(F.count("*").alias("n"))
     counted = {r["mix_source"]: r["n"] for r in sizes.limit(MOST_SOURCES + 1).collect()}
     if len(counted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+    kept = [c for c in docs.columns if c not in ADDED]
     if not counted:
-        return docs.select("*", name.alias("mix_source"), *(F.lit(0).cast("long").alias(f"mix_{c}") for c in ("block", "slot", "release", "deadline")))
+        return docs.select(*kept, F.lit(None).cast("string").alias("mix_source"), *(F.lit(None).cast("long").alias(c) for c in ADDED[1:]))
     wanted = {s: float((weights or {}).get(s, n**TEMPERATURE)) for s, n in sorted(counted.items())}
     shares = ticks(wanted, period)
     turn = sum(shares.values())
     plan = spark.createDataFrame([(s, shares[s], max(1, math.ceil(n / block_docs))) for s, n in counted.items()], "mix_source string, share long, blocks long")
     slots = spark.createDataFrame(schedule(shares), "mix_source string, j long, at long, release long, due long")
-    dealt = docs.withColumn("mix_source", name).join(F.broadcast(plan), "mix_source")
-    block = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, 12), 16, 10).cast("long") % F.col("blocks")
-    dealt = dealt.withColumn("mix_block", block).withColumn("j", F.col("mix_block") % F.col("share"))
+    block = F.conv(F.substring(F.md5(F.coalesce("key", F.lit("null"))), 1, 12), 16, 10).cast("long") % F.col("blocks")
+    dealt = rows.join(F.broadcast(plan), "mix_source").withColumn("mix_block", block).withColumn("j", F.col("mix_block") % F.col("share"))
     base = F.floor(F.col("mix_block") / F.col("share")) * turn
     placed = dealt.join(F.broadcast(slots), ["mix_source", "j"]).withColumns({f"mix_{c}": base + F.col(k) for c, k in (("slot", "at"), ("release", "release"), ("deadline", "due"))})
-    out = placed.select(*(placed[c] for c in docs.columns), "mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline")
-    return out.repartitionByRange("mix_slot", F.xxhash64(id_col)).sortWithinPartitions("mix_slot", id_col)
+    ordered = placed.repartitionByRange("mix_slot", F.xxhash64("key")).sortWithinPartitions("mix_slot", "key")
+    return ordered.select(*(F.col(f"row.`{c}`") for c in kept), *ADDED)

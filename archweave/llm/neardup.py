@@ -13,7 +13,7 @@ still share a bucket are then compared one by one, so no link between different
 
 Defined results: null or empty text, or text without words, gives no shingles, is linked with nothing and is its
 own component; texts are read whole; with fewer than ``k`` words the whole sequence is the one shingle; equal
-texts share a component; an empty table gives an empty result; columns but the id and text are not read.
+texts share a component; a null id is in a component like any other but never names it and is never kept by it; an empty table gives an empty result; columns but the id and text are not read.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Code points before and after a span that count as nearby, up to the next span of its kind.
 CONTEXT = 40
 KEEP = 0.6
 

@@ -19,10 +19,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; the smallest id of a group stays."""
+    """Five-word shingles, similarity 0.8 or more; the smallest id of a group stays, and rows without an id."""
     ship(spark)
-    kept = neardup.near_duplicates(docs, k=5, threshold=(80, 100)).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = neardup.near_duplicates(docs, k=5, threshold=(80, 100)).filter("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
