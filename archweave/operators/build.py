@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
@@ -53,16 +54,16 @@ def _refuse(rows: DataFrame, column: str, code: str, text: str) -> None:
         raise GraphError(code, f"{text}: {', '.join(map(str, found))}")
 
 
-def _full(df: DataFrame, ddl: str, spark: SparkSession) -> DataFrame:
-    """Columns of a table in its types, absent ones null."""
+def _full(df: DataFrame, ddl: str, spark: SparkSession, *more: str) -> DataFrame:
+    """Columns of a table in its types, absent ones null, and ``more`` as they are."""
     fields = spark.createDataFrame([], ddl).schema.fields
-    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields), *more)
 
 
 @dataclass(frozen=True)
 class Builder:
     graph: Graph
-    sources: DataFrame
+    sources: tuple[Mapping[str, str], ...]
     graph_id: str = "graph"
 
     @classmethod
@@ -73,14 +74,22 @@ class Builder:
             raise GraphError("MISSING_DOMAINS", "At least one domain is required")
         g = Graph.empty(spark)
         own = spark.createDataFrame([(graph_id, i, n, d["description"], d["system_type"]) for i, (n, d) in enumerate(domains.items())], schema.DOMAINS)
-        src = spark.createDataFrame([(s["repository"], s.get("commit"), s.get("extracted_at")) for s in sources], "repository string, commit string, extracted_at string")
-        return cls(replace(g, domains=own, graphs=spark.createDataFrame([(graph_id, "1.0", "{}")], schema.GRAPHS)), src, graph_id)
+        return cls(replace(g, domains=own), (), graph_id)._sourced(tuple(sources))
 
     @classmethod
-    def resume(cls, graph: Graph, sources: DataFrame, graph_id: str) -> Builder:
-        if sources.isEmpty():
+    def resume(cls, graph: Graph, graph_id: str) -> Builder:
+        """Go on with a graph that was read, which has to name its sources."""
+        row = graph.graphs.filter(F.col("graph_id") == graph_id).select("metadata").first()
+        sources = json.loads(row["metadata"] or "{}").get("sources") if row else None
+        if not sources:
             raise GraphError("MISSING_SOURCES", "At least one source is required")
-        return cls(graph.only(graph_id), sources, graph_id)
+        return cls(graph.only(graph_id), tuple(sources), graph_id)
+
+    def _sourced(self, sources: tuple[Mapping[str, str], ...]) -> Builder:
+        """Sources are given one by one and are few; they live in the graph's metadata."""
+        told = [{k: s[k] for k in ("repository", "commit", "extractedAt") if s.get(k)} for s in sources]
+        row = self.spark.createDataFrame([(self.graph_id, "1.0", json.dumps({"sources": told}))], schema.GRAPHS)
+        return replace(self._with(graphs=row), sources=sources)
 
     @property
     def spark(self) -> SparkSession:
@@ -96,8 +105,7 @@ class Builder:
         return df.withColumn("ord", place + top).withColumn(G, F.lit(self.graph_id))
 
     def add_source(self, repository: str, commit: str | None = None) -> Builder:
-        row = self.spark.createDataFrame([(repository, commit, None)], self.sources.schema)
-        return replace(self, sources=self.sources.union(row))
+        return self._sourced((*self.sources, {"repository": repository, "commit": commit or ""}))
 
     def add_domains(self, rows: DataFrame) -> Builder:
         """(name, description, system_type); a name that is there, or twice in the batch, is refused."""
@@ -129,8 +137,9 @@ class Builder:
             for field in ("id", "type"):
                 rows = rows.withColumn(field, F.coalesce(F.col(properties)[field], F.col(field)))
         _refuse(rows.select("id").union(g.components.select("id")).groupBy("id").count().filter("count > 1"), "id", "DUPLICATE_COMPONENT", "Components exist")
-        full = _full(self._numbered(rows, g.components), schema.COMPONENTS, self.spark)
-        return self._with(components=g.components.unionByName(full.withColumn("raw", component_json(F.col(properties) if properties and properties in full.columns else None))))
+        full = _full(self._numbered(rows, g.components), schema.COMPONENTS, self.spark, *([properties] if properties else []))
+        full = full.withColumn("raw", component_json(F.col(properties) if properties else None)).select(g.components.columns)
+        return self._with(components=g.components.unionByName(full))
 
     def link(self, rows: DataFrame) -> Builder:
         """(source, target, type?, id?): the source has to exist, the target may come later; nothing is merged."""

@@ -118,12 +118,12 @@ def to_documents(graph: Graph, *, drop_empty: bool = False) -> DataFrame:
     ext = F.to_json(F.struct("id", "source", "target", "type", "description", json_value("source_location").alias("sourceLocation")))
     domain = entry(F.to_json(F.struct("description", F.col("system_type").alias("systemType"))))
     ctype = entry(F.to_json(F.struct("description", F.col("required").alias("requiredProperties"), F.col("optional").alias("optionalProperties"))))
-    out = graph.graphs.select(G, "version")
+    out = graph.graphs.select(G, "version", F.get_json_object("metadata", "$.sources").alias("s"))
     for name, df in (("c", gather(graph.components, F.coalesce("raw", component_json(None)))), ("l", gather(graph.links, link)), ("x", gather(graph.external_links, ext)), ("d", gather(graph.domains, domain)), ("t", gather(graph.custom_types, ctype))):
         out = out.join(df.withColumnRenamed("j", name), G, "left")
     part = lambda c: F.coalesce(c, F.lit(""))
     optional = lambda c, before, after: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit(before), c, F.lit(after))) if drop_empty else F.concat(F.lit(before), part(c), F.lit(after))
-    text = F.concat(F.lit('{"version":'), quoted(F.col("version")), F.lit(',"metadata":{"domains":{'), part("d"), F.lit("}"), optional("t", ',"customTypes":{', "}"), F.lit('},"components":['), part("c"), F.lit('],"links":['), part("l"), F.lit("]"), optional("x", ',"externalLinks":[', "]"), F.lit("}"))
+    text = F.concat(F.lit('{"version":'), quoted(F.col("version")), F.lit(',"metadata":{'), F.coalesce(F.concat(F.lit('"sources":'), "s", F.lit(",")), F.lit("")), F.lit('"domains":{'), part("d"), F.lit("}"), optional("t", ',"customTypes":{', "}"), F.lit('},"components":['), part("c"), F.lit('],"links":['), part("l"), F.lit("]"), optional("x", ',"externalLinks":[', "]"), F.lit("}"))
     return out.select(G, text.alias("value"))
 
 
