@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``; only Spark's reader opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +31,9 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(f, f"archweave/{f.relative_to(root)}")
         sc.addPyFile(path)
         sc._archweave_shipped = True
+    # what a Python worker holds at once is bounded in rows and bytes, so long documents do not add up
+    for key, most in BATCH.items():
+        spark.conf.set(key, most)
     return spark
 
 

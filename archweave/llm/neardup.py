@@ -33,7 +33,7 @@ BANDS = T // ROWS
 U = np.uint64
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, 2 * T, dtype=np.uint64)
 _WORDS: dict[bytes, int] = {}
-_WORDS_MOST = 400_000
+_WORDS_MOST = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -6,8 +6,8 @@ chunk and its place falls below the rate, so segmentations vary by document and
 rate 0 the result is the tokenizer's own. Whatever is skipped, pieces are substrings of the text or its bytes: joining
 them gives the text back.
 
-A piece never has a space inside, so a text is cut before each run of spaces and the chunks are encoded one by one,
-with a bounded memory for chunks seen before.
+A piece never has a space inside, so a text is cut before each run of spaces, and, where no piece of the vocabulary
+joins the two, between letters and other signs; no merge can cross a cut. Chunks are encoded one by one, with a bounded memory for chunks seen before.
 
 Defined results: null text counts as empty; empty text has no pieces; U+2581, the sign for a space, is written as
 bytes so that it survives; texts are read whole; repeated rows give repeated results.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,7 @@ from heapq import heapify, heappop, heappush
 from operator import add
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,9 +35,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE, VARIANTS = 17, 0.1, 2
 VARIANT_STEP, GOLDEN, MASK = 1_000_003, 0x9E3779B97F4A7C15, 2**64 - 1
 #: Chunks up to SHORT signs are scanned and remembered, KNOWN of them per variant.
-SHORT, KNOWN, NEVER = 48, 300_000, float("inf")
+SHORT, KNOWN, NEVER = 48, 180_000, float("inf")
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ▁]+|▁| +")
+#: Finer, for vocabularies without a piece that joins a letter and another sign.
+_FINE_CHUNK = re.compile(r" *[^\W\d_]+| *(?:[^\w ▁]|[\d_])+|▁| +")
+_JOINS = re.compile(r"[^\W\d_](?:[^\w ▁]|[\d_])|(?:[^\w ▁]|[\d_])[^\W\d_]")
 
 
 class Codec:
@@ -48,26 +53,26 @@ class Codec:
         ids = range(sp.get_piece_size())
         plain = {sp.id_to_piece(i): i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.id, self.rank = plain.get, {piece: -sp.get_score(i) for piece, i in plain.items()}.get
-        self.known: dict[int, dict[str, tuple[int, ...]]] = defaultdict(dict)
+        self.known: dict[int, dict[str, bytes]] = defaultdict(dict)
+        self.chunks = (_CHUNK if any(map(_JOINS.search, plain)) else _FINE_CHUNK).findall
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.raw = [sp.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
         self.seed, self.bar = seed, int(rate * 2**64)
 
-    def _chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
+    def _chunk(self, chunk: str, variant: int) -> bytes:
         if chunk == SPACE:
-            return tuple(self.byte[b] for b in chunk.encode())
+            return array("i", [self.byte[b] for b in chunk.encode()]).tobytes()
         text = chunk.replace(" ", SPACE)
         bar = self.bar
         key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=self.seed * VARIANT_STEP + variant) if bar else 0
-        out: list[int] = []
-        for symbol in self._short(text, key) if len(text) <= SHORT else self._long(text, key):
-            if hit := self.id(symbol):
-                out.append(hit)
-            else:
-                out += [self.byte[b] for b in symbol.replace(SPACE, " ").encode("utf-8", "surrogatepass")]
-        return tuple(out)
+        symbols = self._short(text, key) if len(text) <= SHORT else list(self._long(text, key))
+        ids = list(map(self.id, symbols))
+        if None in ids:
+            spelt = ([i] if i is not None else [self.byte[b] for b in s.replace(SPACE, " ").encode("utf-8", "surrogatepass")] for i, s in zip(ids, symbols, strict=True))
+            ids = [i for part in spelt for i in part]
+        return array("i", ids).tobytes()
 
     def _short(self, text: str, key: int) -> list[str]:
         """The agenda as a list in text order: its least rank is the next candidate, the first of them on ties."""
@@ -118,17 +123,21 @@ class Codec:
             i = right[i]
 
     def encode(self, text: str | None, variant: int = 0) -> list[int]:
+        return np.frombuffer(self.packed(text, variant), np.int32).tolist()
+
+    def packed(self, text: str | None, variant: int = 0) -> bytes:
+        """Ids as 32-bit numbers; chunks are remembered in this form, which is small and joins fast."""
         if not text:
-            return []
+            return b""
         known, out = self.known[variant], []
-        for c in _CHUNK.findall(" " + text):
+        for c in self.chunks(" " + text):
             ids = known.get(c)
             if ids is None:
                 ids = self._chunk(c, variant)
                 if len(known) < KNOWN and len(c) <= SHORT:
                     known[c] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -153,12 +162,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             variant, n_chars, ids, sha, same = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 variant.append(xxhash.xxh3_64_intdigest(str(key), seed=seed) % variants)
-                ids.append(own.encode(text, variant[-1]))
-                back = own.decode(ids[-1])
+                ids.append(own.packed(text, variant[-1]))
+                back = own.decode(np.frombuffer(ids[-1], np.int32).tolist())
                 n_chars.append(len(back))
                 sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                 same.append(back == (text or ""))
-            cols = [batch.column(0), pa.array(variant, pa.int32()), pa.array(n_chars, pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.frombuffer(b"".join(ids), np.int32))
+            cols = [batch.column(0), pa.array(variant, pa.int32()), pa.array(n_chars, pa.int64()), pa.array(n), lists, pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "variant", "n_chars", "n_pieces", "ids", "text_sha256", "lossless"])
 
     schema = "doc_id long, variant int, n_chars long, n_pieces long, ids array<int>, text_sha256 string, lossless boolean"

@@ -34,7 +34,7 @@ FUNCTION_WORDS = frozenset("the of and to in is that it for with as was der die
 HEURISTICS = ("symbols", "capitals", "cells", "stutter", "lines", "exclaims", "function_words", "variety", "length")
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def token_traits(token: str) -> tuple[int, int, int]:
     """Whether a token carries signs, shouts, or is a cell border."""
     letters = [c for c in token if c.isalpha()]
@@ -143,7 +143,7 @@ _LETTERS, _DIGITS = re.compile(r"[^\W\d_]{2,}"), re.compile(r"\d+")
 _PLAIN = {False: xxhash.xxh3_64_intdigest("w") % (DIM - 64), True: xxhash.xxh3_64_intdigest("W") % (DIM - 64)}
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def outline(token: str) -> int:
     out = _DIGITS.sub("9", _LETTERS.sub(lambda m: "W" if m[0].isupper() else "w", token))
     return xxhash.xxh3_64_intdigest(out[:12]) % (DIM - 64)
