@@ -2,16 +2,17 @@
 
 Vectors become whole numbers, floor(scale * x). Candidates are dealt to blocks by a keyed hash; in a block every
 dimension is a sorted list. A query walks all lists in step, from the end that its sign prefers, scores whatever comes
-up for the first time, and stops when its k-th best score beats the bound, the score of an imaginary vector made of
-the values at the present depth: no unseen vector can do better. Blocks give their k best, and a ranking over blocks,
-which Spark cuts to k before it shuffles, gives the result.
+up for the first time, and stops when its k-th best score beats the bound or nothing is left unseen. The bound is the
+score of an imaginary vector made of the values at the present depth: no unseen vector can do better. Blocks give their
+k best, and a ranking over blocks, which Spark cuts to k before it shuffles, gives the result.
 
 Queries meet candidates block by block: a block of queries is copied to each block of candidates, so a task holds
 BLOCK_QUERIES by BLOCK_ROWS vectors at most in expectation, whatever the tables hold. Equal vectors in a block are
 one entry of the lists with their ids in order, so copies cost a tie nothing.
 
 Defined results: vectors that are null, hold a null or a component that is not finite, or are empty, take no part;
-vectors of different length never meet; ties go to the smaller id; fewer than k candidates give fewer rows.
+vectors of different length never meet; ties go to the smaller id; fewer than k candidates give fewer rows; components
+so large that a score might not fit a long are an error.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
-FIRST_DEPTH = 32
-EXACT = 2.0**53
+FIRST_DEPTH = 64
+#: Up to these magnitudes floating point adds whole numbers without loss.
+EXACT = ((np.float32, 2.0**24), (np.float64, 2.0**53), (np.int64, 2.0**62))
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:
@@ -42,8 +44,9 @@ class Lists:
         inverse = inverse.ravel()
         by = np.argsort(inverse, kind="stable")
         self.ids, self.at = ids[order][by], np.searchsorted(inverse[by], np.arange(len(self.x) + 1))
-        self.up = np.argsort(self.x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, self.up, axis=0)
+        columns = np.ascontiguousarray(self.x.T)
+        self.up = np.argsort(columns, axis=1, kind="stable")  # one list per dimension, rising
+        self.sorted = np.take_along_axis(columns, self.up, axis=1)
         self.first = self.ids[self.at[:-1]]
 
     def top(self, q: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,18 +61,22 @@ class Lists:
             depth = min(depth, n) if len(used) else n
             if len(used):
                 falling, rising = used[down[used]], used[~down[used]]
-                new = np.concatenate([self.up[n - depth : n - done, falling].ravel(), self.up[done:depth, rising].ravel()])
+                fresh = np.zeros(n, bool)
+                fresh[self.up[falling, n - depth : n - done]] = True
+                fresh[self.up[rising, done:depth]] = True
+                fresh &= ~seen
             else:
-                new = np.arange(n)
-            fresh = np.zeros(n, bool)
-            fresh[new] = True
-            fresh &= ~seen
-            score[fresh] = self.x[fresh] @ q
+                fresh = ~seen
+            some = np.flatnonzero(fresh)
+            if 3 * len(some) > n:  # reading the block through is cheaper than picking most of it
+                score[some] = (self.x @ q)[some]
+            else:
+                score[some] = self.x[some] @ q
             seen |= fresh
             got = np.flatnonzero(seen)
-            if depth == n:
+            if depth == n or len(got) == n:  # no vector is left unseen
                 break
-            edge = np.where(down, self.sorted[n - depth], self.sorted[depth - 1])
+            edge = np.where(down, self.sorted[:, n - depth], self.sorted[:, depth - 1])
             bound = edge @ q
             # k + 1 distinct vectors hold k candidates besides the query itself
             if len(got) > k and np.partition(score[got], len(got) - k - 1)[len(got) - k - 1] > bound:
@@ -91,9 +98,11 @@ def block_top(k: int):
         if len(queries) and len(rows):
             x, q = (np.array(df["v"].tolist(), np.int64) for df in (rows, queries))
             largest = float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1]
-            kind = np.float64 if largest < EXACT else np.int64 if largest < 2.0**62 else object
-            lists = Lists(rows["vec_id"].to_numpy(), x.astype(np.float64) if kind is np.float64 else x)
-            for key, v in zip(queries["vec_id"], q.astype(kind) if kind is np.float64 else q, strict=True):
+            kind = next((k for k, bar in EXACT if largest < bar), None)
+            if kind is None:
+                raise ValueError("scores would not fit a long")
+            lists = Lists(rows["vec_id"].to_numpy(), x.astype(kind))
+            for key, v in zip(queries["vec_id"], q.astype(kind), strict=True):
                 ids, s = lists.top(v, k, key)
                 out["query_id"] += [key] * len(ids)
                 out["vec_id"] += ids.tolist()
