@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +73,9 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 _STRANGE = re.compile(r"[^\W\d_][\d@$!|+(€£.*_~^-]+[^\W\d_]|[\d@$!|(€£][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][013457@$!]")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1")
+#: Tokens that a task remembers.
+KNOWN = 300_000
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*-]{1,2}[^\W_](?![^\W_])){3,}")
 _TRIM = re.compile(r"^[^\w@$!|(€£]+|[^\w@$]+$")
 
@@ -119,25 +121,37 @@ class Reader:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.readings = lru_cache(300_000)(self._readings)
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        found = self.known.get(token)
+        if found is None:
+            found = self._readings(token)
+            if len(self.known) < KNOWN:
+                self.known[token] = found
+        return found
 
     def _readings(self, token: str) -> tuple[str, ...]:
+        if token.isalpha() and not _STRETCHED.search(token):
+            return (token,)
         plain = _TRIM.sub("", token)
         out = [plain] if plain else []
         if _STRANGE.search(token) and len(token) <= 64:
             out += [r for r in {restore(plain, self.model), restore(token, self.model)} if len(r) > 2]
         return tuple(dict.fromkeys(out))
 
-    def tokens(self, text: str | None) -> set[str]:
+    def written(self, text: str | None) -> set[str]:
+        """Distinct tokens of a text, those that are spaced out also joined."""
         low = (text or "").lower()
-        out: set[str] = set()
-        for t in set(low.split()):
-            out.update(self.readings(t))
+        out = set(low.split())
         for m in _SPACED.finditer(low):
             out.add(re.sub(r"[\W_]+", "", m[0]))
-            out.update(self.readings(re.sub(r"[ ._*-]+", "", m[0])))
+            out.add(re.sub(r"[ ._*-]+", "", m[0]))
         return out
 
+    def tokens(self, text: str | None) -> set[str]:
+        return {r for t in self.written(text) for r in self.readings(t)}
+
 
 def training_rows(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str, text_col: str) -> list:
     """(toxic, packed features) of the bounded sample; only its ids, at most TRAIN_ROWS, are broadcast."""
@@ -201,15 +215,23 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         get = sparse.get
+        known: dict[str, tuple[int, ...]] = {}
 
-        @lru_cache(300_000)
         def found(token: str) -> tuple[int, ...]:
-            return tuple(f for f in token_features(token) if f in sparse)
+            hits = tuple({f for r in reader._readings(token) for f in token_features(r) if f in sparse})
+            if len(known) < KNOWN:
+                known[token] = hits
+            return hits
 
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                hits = {f for t in reader.tokens(text) for f in found(t)}
+                hits = set()
+                for t in reader.written(text):
+                    if (f := known.get(t)) is None:
+                        f = found(t)
+                    if f:
+                        hits.update(f)
                 out.append(1 / (1 + np.exp(-np.clip(base + sum(map(get, sorted(hits))), -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
