@@ -35,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE, VARIANTS = 17, 0.1, 2
 VARIANT_STEP, GOLDEN, MASK = 1_000_003, 0x9E3779B97F4A7C15, 2**64 - 1
 #: Chunks up to SHORT signs are scanned and remembered, KNOWN of them per variant.
-SHORT, KNOWN, NEVER = 48, 180_000, float("inf")
+SHORT, KNOWN, NEVER = 48, 300_000, float("inf")
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ▁]+|▁| +")
 #: Finer, for vocabularies without a piece that joins a letter and another sign.
@@ -129,14 +129,15 @@ class Codec:
         """Ids as 32-bit numbers; chunks are remembered in this form, which is small and joins fast."""
         if not text:
             return b""
-        known, out = self.known[variant], []
-        for c in self.chunks(" " + text):
-            ids = known.get(c)
-            if ids is None:
-                ids = self._chunk(c, variant)
-                if len(known) < KNOWN and len(c) <= SHORT:
-                    known[c] = ids
-            out.append(ids)
+        known, chunks = self.known[variant], self.chunks(" " + text)
+        out = list(map(known.get, chunks))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    c = chunks[i]
+                    out[i] = known.get(c) or self._chunk(c, variant)
+                    if len(known) < KNOWN and len(c) <= SHORT:
+                        known[c] = out[i]
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
