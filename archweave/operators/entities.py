@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from archweave.graph import Graph
 from archweave.operators.aggregate import G, in_order
-from archweave.plans.fixpoint import frontier
+from archweave.plans.fixpoint import Rounds, frontier
 
 
 def operations(graph: Graph) -> DataFrame:
@@ -45,7 +45,7 @@ def state_order(graph: Graph) -> DataFrame:
     roots = steps.join(t.select(*key, F.col("to").alias("state")), [*key, "state"], "left_anti")
     index = F.row_number().over(Window.partitionBy(*key).orderBy("first")).cast("long")
     start = roots.select(*key, "state", index.alias("root"), F.lit(0).cast("long").alias("distance"))
-    hop = steps.select(*key, "state", "next")
+    hop, _ = Rounds(graph.spark).save(steps.select(*key, "state", "next"))
 
     def step(new: DataFrame) -> DataFrame:
         return new.join(hop, [*key, "state"]).select(*key, F.col("next").alias("state"), "root", (F.col("distance") + 1).alias("distance"))

@@ -18,7 +18,8 @@ def _edges(graph: Graph) -> DataFrame:
 
 def closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, id, depth): ids reachable from ``starts`` over directed (source, target), by least hops."""
-    hop = edges.select(G, F.col("source").alias("id"), "target").distinct()
+    # every round joins the hops: they are written once, however much work it was to find them
+    hop, _ = Rounds(edges.sparkSession).save(edges.select(G, F.col("source").alias("id"), "target").distinct())
 
     def step(new: DataFrame) -> DataFrame:
         return new.join(hop, [G, "id"]).select(G, F.col("target").alias("id"), (F.col("depth") + 1).alias("depth"))
@@ -90,7 +91,7 @@ def flows(graph: Graph) -> DataFrame:
     """
     ids = graph.components.select(G, "id").distinct()
     edges = _edges(graph).join(ids.withColumnRenamed("id", "source"), [G, "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), [G, "target"], "left_semi")
-    hop = edges.select(G, F.col("source").alias("id"), "target", "ord")
+    hop, _ = Rounds(graph.spark).save(edges.select(G, F.col("source").alias("id"), "target", "ord"))
     start = entry_points(graph).select(G, F.col("id").alias("entry"), "id", F.array().cast("array<bigint>").alias("path"), F.array("id").alias("nodes")).dropDuplicates([G, "entry"])
 
     def step(new: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def filter_by_type(graph: Graph, visible: list[str]) -> tuple[DataFrame, DataFra
     direct = from_seen.join(of(seen, "target"), [G, "target"], "left_semi").withColumn("rewired", F.lit(False))
     start = from_seen.join(of(hidden, "target"), [G, "target"], "left_semi").select(G, F.col("source").alias("entry"), F.col("target").alias("id"), F.array("ord").alias("path"), F.array("target").alias("nodes"))
     inner = e.join(of(hidden, "source"), [G, "source"], "left_semi")
-    hop = inner.join(of(hidden, "target"), [G, "target"], "left_semi").select(G, F.col("source").alias("id"), "target", "ord")
+    hop, _ = Rounds(graph.spark).save(inner.join(of(hidden, "target"), [G, "target"], "left_semi").select(G, F.col("source").alias("id"), "target", "ord"))
 
     def step(new: DataFrame) -> DataFrame:
         on = new.join(hop, [G, "id"]).filter(~F.array_contains("nodes", F.col("target")))
