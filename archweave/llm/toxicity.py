@@ -1,8 +1,10 @@
 """Toxicity by a noisy channel: undo the disguise first, then score what was meant.
 
 A character trigram model over all documents says what spelling is likely. A token that mixes letters with look-alike
-signs, stretches a letter or is spaced out becomes a lattice of readings, each with a channel cost, and Viterbi finds
-the likeliest. A linear model over words and word beginnings, learnt from labelled rows, scores the document by its
+signs or stretches a letter becomes a lattice of readings, each with a channel cost, and Viterbi finds the likeliest.
+Blanks and separators are part of the lattice, each dropped or a boundary between words. A blank between two plain
+words of two letters or more is decided by the letters around it alone, so a table of those decisions replaces the
+lattice there; all other blanks, beside single signs, go through it. A linear model over words and word beginnings, learnt from labelled rows, scores the document by its
 distinct tokens, both as written and as restored.
 
 Labels: rows of ``labels`` with crc32(doc_id as text) mod 5 other than 0, at most ``TRAIN_ROWS`` of them by keyed hash
@@ -34,6 +36,8 @@ BEGINNINGS = (4, 5, 6)
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 NOISE = ".*_-~^'`,"
 KEEP_COST, SWAP_COST, DROP_COST, SQUEEZE_COST = 0.0, 1.0, 0.7, 0.7
+#: A blank that is dropped: beside a single sign, where spacing is likely meant, and between longer fragments.
+JOIN_COST, MEND_COST = 0.0, 1.7
 
 LETTERS = 28  # space, a to z, any other letter
 _CODE = np.zeros(128, np.int64)
@@ -76,36 +80,66 @@ _STRANGE = re.compile(r"[^\W\d_][\d@$!|+(€£.*_~^-]+[^\W\d_]|[\d@$!|(€£][^\
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 #: Tokens that a task remembers.
 KNOWN = 300_000
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*-]{1,2}[^\W_](?![^\W_])){3,}")
+_SIDES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKALIKE)
+#: Single signs with separators between them and no blank: a token that is spaced out within.
+_SEPARATED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_]))+")
+_SEPARATORS = re.compile(r"[^\w@$!|(+*€£]+|_+")
 _TRIM = re.compile(r"^[^\w@$!|(€£]+|[^\w@$]+$")
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a token: Viterbi over (last two letters), one step per sign.
+def restore(token: str, model: np.ndarray, squeeze: bool = True) -> str:
+    """The likeliest reading of a text: Viterbi over (last two letters), one step per sign.
 
     Readings of a sign: itself if a letter, a letter it looks like, nothing if it is noise, nothing if it repeats the
-    letter before. A state keeps its best cost and spelling; there are at most a few readings per sign.
+    letter before; a blank is nothing or a boundary. A state keeps its best cost and, as a chain, its spelling. States
+    and readings per sign are bounded, so time is linear.
     """
-    states = {(0, 0, ""): (0.0, "")}
-    for ch in token[:64] if len(token) > 64 else token:
-        options: list[tuple[str, float]] = []
-        if ch.isalpha():
-            options.append((ch, KEEP_COST))
-        options += [(x, SWAP_COST) for x in LOOKALIKE.get(ch, "")]
-        if not options or ch in NOISE:
-            options.append(("", DROP_COST))
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
+    cost_of = _costs(model)
+    states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
+    for ch in token:
+        if ch == " ":
+            options = [("", JOIN_COST), (" ", KEEP_COST)]
+        else:
+            options = [(ch, KEEP_COST)] if ch.isalpha() else []
+            options += [(x, SWAP_COST) for x in LOOKALIKE.get(ch, "")]
+            if not options or ch in NOISE:
+                options.append(("", DROP_COST + 1.0))
+        alike = LOOKALIKE.get(ch, "")
+        after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
         for (a, b, last), (cost, spelt) in states.items():
-            for x, more in options + ([("", SQUEEZE_COST)] if last and (ch == last or last in LOOKALIKE.get(ch, "")) else []):
+            for x, more in options + ([("", SQUEEZE_COST)] if squeeze and last and (ch == last or last in alike) else []):
+                if x == " " and not b:
+                    continue  # a boundary already
                 if x:
-                    c = ord(x) - 96 if "a" <= x <= "z" else LETTERS - 1
-                    key, value = (b, c, x), (cost + more + model[a, b, c], spelt + x)
-                else:
-                    key, value = (a, b, last), (cost + more + (0.0 if more == SQUEEZE_COST else 1.0), spelt)
-                if key not in after or value < after[key]:
-                    after[key] = value
+                    c = 0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else LETTERS - 1
+                    key, total = (b, c, x if c else ""), cost + more + cost_of[(a * LETTERS + b) * LETTERS + c]
+                    if key not in after or total < after[key][0]:
+                        after[key] = (total, (x, spelt))
+                elif (key := (a, b, last)) not in after or cost + more < after[key][0]:
+                    after[key] = (cost + more, spelt)
         states = after
-    return min((cost + model[a, b, 0], spelt) for (a, b, _), (cost, spelt) in states.items())[1]
+    chain = min(((cost + cost_of[(a * LETTERS + b) * LETTERS], spelt) for (a, b, _), (cost, spelt) in states.items()), key=lambda s: s[0])[1]
+    out = []
+    while chain:
+        out.append(chain[0])
+        chain = chain[1]
+    return "".join(reversed(out))
+
+
+_last_costs: tuple[np.ndarray | None, list[float]] = (None, [])
+
+
+def _costs(model: np.ndarray) -> list[float]:
+    """The model as a flat list, which Python reads faster; that of the last model is kept."""
+    global _last_costs
+    if _last_costs[0] is not model:
+        _last_costs = (model, model.ravel().tolist())
+    return _last_costs[1]
+
+
+def _single(token: str) -> bool:
+    """One sign, perhaps with separators around it."""
+    return len(token) == 1 or len(token.strip(_SIDES)) == 1
 
 
 def hashed(feature: str) -> int:
@@ -117,11 +151,15 @@ def token_features(token: str) -> list[int]:
 
 
 class Reader:
-    """Distinct tokens of a text as features, with a bounded memory for tokens seen before."""
+    """Distinct tokens of a text as features, with a bounded memory for what was seen before."""
 
     def __init__(self, model: np.ndarray):
         self.model = model
         self.known: dict[str, tuple[str, ...]] = {}
+        #: By the two letters before a blank and the two after it: whether it may be dropped.
+        self.blanks: dict[tuple[str, str], bool] = {}
+        #: Spaced runs, their ends cut to two letters: whether the lattice drops a blank.
+        self.runs: dict[str, bool] = {}
 
     def readings(self, token: str) -> tuple[str, ...]:
         found = self.known.get(token)
@@ -136,18 +174,77 @@ class Reader:
             return (token,)
         plain = _TRIM.sub("", token)
         out = [plain] if plain else []
-        if _STRANGE.search(token) and len(token) <= 64:
+        if _STRANGE.search(token):
             out += [r for r in {restore(plain, self.model), restore(token, self.model)} if len(r) > 2]
+        for m in _SEPARATED.finditer(token):
+            out += self._spelt(m[0])
         return tuple(dict.fromkeys(out))
 
+    def _open(self, before: str, after: str) -> bool:
+        """Whether the blank between two tokens, given by two signs each at most, may be dropped."""
+        if not (before[-1:].isalnum() and after[:1].isalnum()):  # a separator: only single signs have it within a word
+            return _single(before) and _single(after)
+        if len(before) < 2 or len(after) < 2:
+            return True
+        if not (before + after).isalpha():
+            return False
+        (a, b), (c, d) = codes(before), codes(after)
+        m = self.model
+        return bool(m[a, b, c] + m[b, c, d] + MEND_COST < m[a, b, 0] + m[b, 0, c] + m[0, c, d])
+
     def written(self, text: str | None) -> set[str]:
-        """Distinct tokens of a text, those that are spaced out also joined."""
-        low = (text or "").lower()
-        out = set(low.split())
-        for m in _SPACED.finditer(low):
-            out.add(re.sub(r"[\W_]+", "", m[0]))
-            out.add(re.sub(r"[ ._*-]+", "", m[0]))
-        return out
+        """Distinct tokens of a text, and the words that its spaced runs make."""
+        words = (text or "").lower().split()
+        out = set(words)
+        if len(words) < 2:
+            return out
+        pairs = list(zip([w[-2:] for w in words], [w[:2] for w in words[1:]]))  # noqa: B905
+        may = list(map(self.blanks.get, pairs))
+        if None in may:
+            for i, x in enumerate(may):
+                if x is None:
+                    may[i] = self._open(*pairs[i])
+                    if len(self.blanks) < KNOWN:
+                        self.blanks[pairs[i]] = may[i]
+        i, n = 0, len(may)
+        while True:
+            try:
+                i = may.index(True, i)
+            except ValueError:
+                return out
+            start = i
+            while i < n and may[i]:
+                i += 1
+            out.update(self._joined(words[start : i + 1]))
+
+    def _joined(self, run: list[str]) -> list[str]:
+        """Words that appear where blanks of a run are dropped."""
+        single = list(map(_single, run))
+        if True not in single:
+            return ["".join(run)]
+        out, start = [], 0
+        for i, x in enumerate([*single, False]):
+            if not x:
+                out += self._spelt(" ".join(run[start:i])) if i - start > 2 else []
+                start = i + 1
+        cut = " ".join([run[0][-2:], *run[1:-1], run[-1][:2]])
+        drops = self.runs.get(cut)
+        if drops is None:
+            drops = len(self._lattice(cut)) < len(cut.split())
+            if len(self.runs) < KNOWN:
+                self.runs[cut] = drops
+        return out + [w for w in self._lattice(" ".join(run)) if len(w) > 2] if drops else out
+
+    def _spelt(self, run: str) -> list[str]:
+        """Words of a run of single signs, of all of it and of what is left if a one-letter word opens or ends it."""
+        signs = _SEPARATORS.sub(" ", run).split()
+        parts = [signs, signs[1:], signs[:-1], signs[1:-1]]
+        return ["".join(signs), *(w for part in parts if len(part) > 2 for w in self._lattice(" ".join(part)) if len(w) > 2)]
+
+    def _lattice(self, run: str) -> list[str]:
+        """Likeliest words of a spaced text; letters written twice stay, those written more often are stretched."""
+        plain = _SEPARATORS.sub(" ", run).strip()
+        return restore(plain, self.model, _STRETCHED.search(plain.replace(" ", "")) is not None).split()
 
     def tokens(self, text: str | None) -> set[str]:
         return {r for t in self.written(text) for r in self.readings(t)}

@@ -334,6 +334,19 @@ def test_disguise_and_odd_rows(spark, docs, odd):
     assert toxicity.score(odd.limit(0), labels).count() == 0
 
 
+def test_spacing_is_in_the_lattice(docs):
+    read = toxicity.Reader(toxicity.character_model(docs)).tokens
+    cases = {
+        "what a i d i o t": "idiot", "i d i o t s t u p i d": "idiot stupid", "b a d": "bad", "i/d/i/o/t": "idiot", "i, d, i, o, t": "idiot", "i   d \n\n i   o\to   t": "idioot",
+        "id iot": "idiot", "mo r on": "moron", "a c l o w n you": "clown", "you are a i d 1 0 t now": "idiot", "m o r o n of t r a s h": "moron trash",
+    }
+    for spaced, meant in cases.items():
+        assert set(meant.split()) <= read(spaced), spaced
+    assert read("of the thing with that") == {"of", "the", "thing", "with", "that"}
+    assert "idiot" * 20 in read("1d10t" * 20)
+    assert len(read("x y " * 20_000)) > 2
+
+
 # 9 pages
 
 
