@@ -21,6 +21,17 @@ from pyspark.sql import functions as F
 CONTEXT = 40
 KEEP = 0.6
 
+#: Signs of an IBAN by country.
+IBAN_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "IR IS TR", 27: "BF BI BJ CF CG CM DJ EG FR GA GR IT KM MC MG MR SM TD", 28: "AL AZ BY CI CY DO GQ GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A listed country's IBAN has its length and no further sign of a number after it. A code that is not listed takes as
+#: many groups as there are, up to where a listed one starts.
+_LISTED = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_SIGNS.items()) + ")(?![A-Z0-9])"
+IBAN = f"(?=[A-Z]{{2}}[0-9]{{2}})(?:{_LISTED}|(?!{'|'.join(' '.join(IBAN_SIGNS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\\x20?(?!{_LISTED})[A-Z0-9]){{11,30}})"
+
 #: Pattern in Java's dialect, a cheap test that any match implies, base score, context words and
 #: what they add. Email, ip, card and phone are the base kinds.
 KINDS: dict[str, tuple[str, str, float, str, float]] = {
@@ -28,7 +39,7 @@ KINDS: dict[str, tuple[str, str, float, str, float]] = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, "host|server|address|login|adresse", 0.3),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", 0.8, "card|visa|credit|karte|carte|tarjeta", 0.2),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "phone|call|tel|mobile|fax", 0.2),
-    "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", r"[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|konto|compte|cuenta", 0.2),
+    "iban": (IBAN, r"[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|konto|compte|cuenta", 0.2),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]-[0-9]{2}-[0-9]", 0.4, "ssn|social|security|tax", 0.4),
 }
 BASE = ("email", "ip", "card", "phone")

@@ -208,6 +208,18 @@ def test_redaction(spark):
     assert pii.redact(df).columns == df.columns
 
 
+def test_iban_ends_where_its_country_says(spark):
+    texts = {
+        "IBAN DE89370400440532013000 BIC COBADEFFXXX": (5, 27), "GB82 WEST 1234 5698 7654 32 Please": (0, 27), "DE89370400440532013000 2024-01-01": (0, 22), "ref AB12 DE89 3704 0044 0532 0130 00 X1": (9, 36),
+        "MT84MALT011000012345MTLCAST001S OK": (0, 31), "NO93 8601 1117 947 NO": (0, 18), "DE89370400440532013001 BIC": None, "DE893704004405320130001": None, "DE89 3704 0044 0532 0130 00\nGB82WEST12345698765432": (0, 27),
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] if x["kind"] == "iban"] for r in pii.find_spans(df).collect()}
+    assert got == {i: [x] if x and i < 8 else [x, (28, 50)] if x else [] for i, x in enumerate(texts.values())}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert masked[0] == "IBAN <iban> BIC COBADEFFXXX" and masked[1] == "<iban> Please" and masked[8] == "<iban>\n<iban>"
+
+
 # 5 mixing
 
 
