@@ -1,13 +1,15 @@
 """SentencePiece encoding with seeded merge-dropout, and its inverse.
 
 Characters of a text start as symbols; an agenda holds adjacent pairs whose union is a piece and takes the best score
-first, the leftmost on ties. A candidate that comes up is skipped when a keyed hash of the seed, the variant, its
-chunk and its place falls below the rate, so segmentations vary by document and come out the same in every run. With
-rate 0 the result is the tokenizer's own. Whatever is skipped, pieces are substrings of the text or its bytes: joining
+first, the leftmost on ties. A candidate that comes up is skipped when a keyed hash of the seed, the variant, the
+document's id and its place in the text falls below the rate, so a word's segmentations vary from place to place and
+come out the same in every run. With rate 0 the result is the tokenizer's own. Whatever is skipped, pieces are substrings of the text or its bytes: joining
 them gives the text back.
 
 A piece never has a space inside, so a text is cut before each run of spaces, and, where no piece of the vocabulary
-joins the two, between letters and other signs; no merge can cross a cut. Chunks are encoded one by one, with a bounded memory for chunks seen before.
+joins the two, between letters and other signs; no merge can cross a cut. Chunks are encoded one by one. A bounded memory holds, for a chunk and
+a set of skipped candidates, the merges that follow, so that a place draws for its own candidates and merges anew only
+what no place has skipped in this way before.
 
 Defined results: null text counts as empty; empty text has no pieces; U+2581, the sign for a space, is written as
 bytes so that it survives; texts are read whole; repeated rows give repeated results.
@@ -18,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE, VARIANTS = 17, 0.1, 2
-VARIANT_STEP, GOLDEN, MASK = 1_000_003, 0x9E3779B97F4A7C15, 2**64 - 1
-#: Chunks up to SHORT signs are scanned and remembered, KNOWN of them per variant.
+VARIANT_STEP, GOLDEN, MIX, MASK = 1_000_003, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 2**64 - 1
+#: Chunks up to SHORT signs are scanned and remembered, KNOWN of them.
 SHORT, KNOWN, NEVER = 48, 300_000, float("inf")
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ▁]+|▁| +")
@@ -53,7 +54,10 @@ class Codec:
         ids = range(sp.get_piece_size())
         plain = {sp.id_to_piece(i): i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.id, self.rank = plain.get, {piece: -sp.get_score(i) for piece, i in plain.items()}.get
-        self.known: dict[int, dict[str, bytes]] = defaultdict(dict)
+        #: By chunk: its ids, the candidates taken for them, each as start << 32 | end, and the same by a candidate
+        #: that is skipped besides.
+        self.known: dict[str, tuple[bytes, list[int], dict]] = {}
+        self.room = KNOWN
         self.chunks = (_CHUNK if any(map(_JOINS.search, plain)) else _FINE_CHUNK).findall
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.raw = [sp.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
@@ -61,22 +65,21 @@ class Codec:
             self.raw[i] = bytes([b])
         self.seed, self.bar = seed, int(rate * 2**64)
 
-    def _chunk(self, chunk: str, variant: int) -> bytes:
+    def _chunk(self, chunk: str, key: int | None, trace: list[int] | None = None, skips: frozenset[int] = frozenset()) -> bytes:
+        """Ids of a chunk at the place that ``key`` stands for; without a key ``skips`` are skipped."""
         if chunk == SPACE:
             return array("i", [self.byte[b] for b in chunk.encode()]).tobytes()
         text = chunk.replace(" ", SPACE)
-        bar = self.bar
-        key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=self.seed * VARIANT_STEP + variant) if bar else 0
-        symbols = self._short(text, key) if len(text) <= SHORT else list(self._long(text, key))
+        symbols = self._short(text, key, trace, skips) if len(text) <= SHORT else list(self._long(text, key))
         ids = list(map(self.id, symbols))
         if None in ids:
             spelt = ([i] if i is not None else [self.byte[b] for b in s.replace(SPACE, " ").encode("utf-8", "surrogatepass")] for i, s in zip(ids, symbols, strict=True))
             ids = [i for part in spelt for i in part]
         return array("i", ids).tobytes()
 
-    def _short(self, text: str, key: int) -> list[str]:
+    def _short(self, text: str, key: int | None, trace: list[int] | None = None, skips: frozenset[int] = frozenset()) -> list[str]:
         """The agenda as a list in text order: its least rank is the next candidate, the first of them on ties."""
-        rank, bar = self.rank, self.bar
+        rank, bar = self.rank, self.bar if key is not None else 0
         symbols, starts = list(text), list(range(len(text) + 1))
         agenda = [rank(pair, NEVER) for pair in map(add, text, text[1:])]
         while agenda:
@@ -87,6 +90,11 @@ class Codec:
             if bar and ((key ^ (starts[i] << 32 | starts[i + 2])) * GOLDEN & MASK) < bar:
                 agenda[i] = NEVER
                 continue
+            if skips and starts[i] << 32 | starts[i + 2] in skips:
+                agenda[i] = NEVER
+                continue
+            if trace is not None:
+                trace.append(starts[i] << 32 | starts[i + 2])
             symbols[i] += symbols.pop(i + 1)
             del starts[i + 1], agenda[i]
             if i:
@@ -95,9 +103,9 @@ class Codec:
                 agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
         return symbols
 
-    def _long(self, text: str, key: int) -> Iterator[str]:
+    def _long(self, text: str, key: int | None) -> Iterator[str]:
         """The agenda as a heap, for chunks whose length would make scans slow; candidates and skips are the same."""
-        n, rank, bar = len(text), self.rank, self.bar
+        n, rank, bar = len(text), self.rank, self.bar if key is not None else 0
         left, right = list(range(-1, n)), list(range(1, n + 1))  # by where a symbol starts: the start before, and its end
         agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(text[i : i + 2], NEVER)) != NEVER]
         heapify(agenda)
@@ -122,22 +130,45 @@ class Codec:
             yield text[i : right[i]]
             i = right[i]
 
-    def encode(self, text: str | None, variant: int = 0) -> list[int]:
-        return np.frombuffer(self.packed(text, variant), np.int32).tolist()
+    def encode(self, text: str | None, variant: int = 0, document: object = None) -> list[int]:
+        return np.frombuffer(self.packed(text, variant, document), np.int32).tolist()
 
-    def packed(self, text: str | None, variant: int = 0) -> bytes:
-        """Ids as 32-bit numbers; chunks are remembered in this form, which is small and joins fast."""
+    def _node(self, chunk: str, skips: frozenset[int], at: dict, name: str | int) -> tuple[bytes, list[int], dict]:
+        trace: list[int] = []
+        found = self._chunk(chunk, None, trace, skips), trace, {}
+        if self.room:
+            self.room -= 1
+            at[name] = found
+        return found
+
+    def packed(self, text: str | None, variant: int = 0, document: object = None) -> bytes:
+        """Ids as 32-bit numbers, a form that is small and joins fast."""
         if not text:
             return b""
-        known, chunks = self.known[variant], self.chunks(" " + text)
-        out = list(map(known.get, chunks))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    c = chunks[i]
-                    out[i] = known.get(c) or self._chunk(c, variant)
-                    if len(known) < KNOWN and len(c) <= SHORT:
-                        known[c] = out[i]
+        bar, known = self.bar, self.known
+        base = xxhash.xxh3_64_intdigest(str(document), seed=self.seed * VARIANT_STEP + variant) if bar else 0
+        out, at = [], 0
+        for c in self.chunks(" " + text):
+            key = (base + at * GOLDEN) & MASK
+            key = ((key ^ key >> 30) * MIX) & MASK
+            key ^= key >> 27
+            at += len(c)
+            if len(c) > SHORT:
+                out.append(self._chunk(c, key))
+                continue
+            ids, trace, more = known.get(c) or self._node(c, frozenset(), known, c)
+            skips, i = (), 0
+            while bar and i < len(trace):
+                place = trace[i]
+                if ((key ^ place) * GOLDEN & MASK) >= bar:
+                    i += 1
+                    continue
+                skips += (place,)
+                if place not in more and not self.room:
+                    ids = self._chunk(c, key)
+                    break
+                ids, trace, more = more.get(place) or self._node(c, frozenset(skips), more, place)
+            out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -163,7 +194,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             variant, n_chars, ids, sha, same = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 variant.append(xxhash.xxh3_64_intdigest(str(key), seed=seed) % variants)
-                ids.append(own.packed(text, variant[-1]))
+                ids.append(own.packed(text, variant[-1], key))
                 back = own.decode(np.frombuffer(ids[-1], np.int32).tolist())
                 n_chars.append(len(back))
                 sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())

@@ -285,6 +285,25 @@ def test_op6_rows(spark, odd):
     assert pieces.encode_documents(odd.limit(0)).count() == 0
 
 
+def test_dropout_is_drawn_at_each_place(proto):
+    own, word = pieces.Codec(proto, rate=0.3), " international"
+    ids = own.encode(word.strip() + word * 199, 0, 1)
+    n = len(own.encode(word.strip(), 0, 1))
+    seen, at = set(), 0
+    for _ in range(200):
+        k = next(k for k in range(1, 20) if own.decode(ids[at : at + k]) == word[1:] or own.decode(ids[at : at + k]) == word.strip())
+        seen.add(tuple(ids[at : at + k]))
+        at += k
+    assert at == len(ids) and len(seen) > 3 and n
+    assert len({tuple(own.encode(word * 5, 0, d)) for d in range(50)}) > 10  # documents of one variant differ
+    fresh = pieces.Codec(proto, rate=0.3)
+    fresh.encode(word * 5, 0, 7)
+    assert fresh.encode(word * 5, 0, 3) == own.encode(word * 5, 0, 3) == pieces.Codec(proto, rate=0.3).encode(word * 5, 0, 3)  # memory changes nothing
+    full = pieces.Codec(proto, rate=0.3)
+    full.room = 0
+    assert all(full.encode(word * 9, 0, d) == own.encode(word * 9, 0, d) for d in range(50))
+
+
 # 7 quality
 
 
