@@ -13,6 +13,7 @@ cannot matter. Ties between kinds at one start keep the order of ``KINDS``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ KINDS: dict[str, tuple[str, str, float, str, float]] = {
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]-[0-9]{2}-[0-9]", 0.4, "ssn|social|security|tax", 0.4),
 }
 BASE = ("email", "ip", "card", "phone")
-SURE = (*BASE, "iban")
+#: Texts with more spans than this are cut by an array of their signs, so that time stays linear in the text.
+MANY = 64
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
 
@@ -82,16 +84,16 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def running(steps: Column, n: Column) -> Column:
-    """Running sums of an int array of size ``n``, by blocks of about sqrt(n) so that n spans cost n ** 1.5 at most.
+def running(steps: Column, n: Column, both: Callable[[Column, Column], Column] = add) -> Column:
+    """Running sums, or what else ``both`` makes of two numbers, of an array of ``n`` numbers from 0 on, by blocks of about sqrt(n) so that n spans cost n ** 1.5 at most.
 
     ``steps`` has to be a materialised column: it is named several times.
     """
     width = F.greatest(F.lit(32), F.ceil(F.sqrt(n)).cast("int"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: both(x, y))
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), width)
     sums = F.transform(starts, lambda b: total(F.slice(steps, b + 1, width)))
-    block = lambda b, off: F.transform(F.sequence(F.lit(1), F.least(width, n - b)), lambda i: off + total(F.slice(steps, b + 1, i)))
+    block = lambda b, off: F.transform(F.sequence(F.lit(1), F.least(width, n - b)), lambda i: both(off, total(F.slice(steps, b + 1, i))))
     carried = F.transform(sums, lambda s, k: struct_of(k, total(F.slice(sums, F.lit(1), k))))
     return F.when(n > 0, F.flatten(F.transform(carried, lambda c: block(c["k"] * width, c["off"])))).otherwise(F.array().cast("array<int>"))
 
@@ -142,24 +144,24 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def masking(kind: str) -> Callable[[Column], Column]:
-    return lambda v: F.when(confirmed(kind, v), F.lit(f"<{kind}>")).otherwise(v)
-
-
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every confirmed span's text replaced by ``<kind>``; all columns and rows stay, null texts stay null.
+    """``docs`` with the spans of ``find_spans`` replaced by ``<kind>``; all columns and rows stay, null texts stay null.
 
-    Kinds that only context makes likely are left to ``find_spans``. Each kind's pattern is replaced only where a checksum confirms it, so the text is cut at the pattern and
-    put together again from the pieces between; kinds are taken one after the other.
+    Spans of several kinds that overlap become one mask, named after the first of them.
     """
-    out = docs
-    for kind, (pattern, gate, *_) in KINDS.items():
-        if kind not in SURE:
-            continue
-        t = F.col(text_col)
-        hit = F.contains(t, F.lit("@")) if kind == "email" else t.rlike(gate)
-        m, p = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
-        shown = F.transform(m, masking(kind))
-        woven = F.array_join(F.flatten(F.zip_with(p, shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-        out = out.withColumn(text_col, F.when(hit, woven).otherwise(t))
-    return out
+    made = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    df = find_spans(made, "row", "text").select(F.col("doc_id").alias("row"), F.col("doc_id")[text_col].alias("text"), "spans")
+    none = F.array().cast("array<string>")
+    df = df.select("*", F.transform("spans", lambda s: s["end"]).alias("ends"), F.when(F.size("spans") > MANY, F.split("text", "")).otherwise(none).alias("signs"))
+    df = df.select("*", running(F.col("ends"), F.size("ends"), F.greatest).alias("reach"))
+    before = lambda i: F.coalesce(F.get("reach", i - 1), F.lit(0))
+    opening = F.filter(F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), before(i).alias("from"))), lambda h: h["start"] >= h["from"])
+    df = df.select("*", opening.alias("masks"), before(F.size("reach")).alias("rest"))
+
+    def piece(start: Column, end: Column) -> Column:
+        n = end - start
+        return F.when(F.size("signs") > 0, F.array_join(F.slice("signs", start + 1, n), "")).otherwise(F.substring(F.col("text"), start + 1, n))
+
+    woven = F.concat(F.array_join(F.transform("masks", lambda h: F.concat(piece(h["from"], h["start"]), F.lit("<"), h["kind"], F.lit(">"))), ""), piece(F.col("rest"), F.length("text")))
+    text = F.when(F.size("spans") > 0, woven).otherwise(F.col("text"))
+    return df.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -220,6 +220,23 @@ def test_iban_ends_where_its_country_says(spark):
     assert masked[0] == "IBAN <iban> BIC COBADEFFXXX" and masked[1] == "<iban> Please" and masked[8] == "<iban>\n<iban>"
 
 
+def test_redaction_is_of_the_spans(spark):
+    """What find_spans keeps is masked and nothing else, with context scores; overlaps become one mask."""
+    many = " ".join(f"a{i}@b.cc é🎉 {i}" for i in range(500))
+    texts = ["ssn 123-45-6789", "just 123-45-6789 here", "🎉 ssn 123-45-6789 and a@b.cc", "+1 4111 1111 1111 1111 x", "1.2.3.4@x.yy z", many, "", None, "social 123-45-6789 or host 1.2.3.4, DE89370400440532013000 ok"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_spans(df).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    for i, t in enumerate(texts):
+        want, done = "", 0
+        for x in spans[i]:
+            if x["start"] >= done:
+                want += t[done : x["start"]] + f"<{x['kind']}>"
+            done = max(done, x["end"])
+        assert got[i] == (None if t is None else want + t[done:])
+    assert got[0] == "ssn <ssn>" and got[1] == texts[1] and got[2] == "🎉 ssn <ssn> and <email>" and got[8] == "social <ssn> or host <ip>, <iban> ok"
+
+
 # 5 mixing
 
 
