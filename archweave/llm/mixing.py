@@ -69,9 +69,11 @@ def schedule(shares: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block_docs: int = BLOCK_DOCS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", in_order: bool = True) -> DataFrame:
     """``docs`` with mix_source, mix_block, mix_slot, mix_release, mix_deadline, in slot order across and within files.
 
+    Without ``in_order`` the rows stay where they are and only learn their slots, without a shuffle of them.
+
     Columns of ``docs`` that have these names are replaced; all others ride along as one value, so no name can clash.
     Broadcast are one row per source (at most MOST_SOURCES, checked) and one per slot of a period.
     """
@@ -93,5 +95,5 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block_do
     dealt = rows.join(F.broadcast(plan), "mix_source").withColumn("mix_block", block).withColumn("j", F.col("mix_block") % F.col("share"))
     base = F.floor(F.col("mix_block") / F.col("share")) * turn
     placed = dealt.join(F.broadcast(slots), ["mix_source", "j"]).withColumns({f"mix_{c}": base + F.col(k) for c, k in (("slot", "at"), ("release", "release"), ("deadline", "due"))})
-    ordered = placed.repartitionByRange("mix_slot", F.xxhash64("key")).sortWithinPartitions("mix_slot", "key")
+    ordered = placed.repartitionByRange("mix_slot", F.xxhash64("key")).sortWithinPartitions("mix_slot", "key") if in_order else placed
     return ordered.select(*(F.col(f"row.`{c}`") for c in kept), *ADDED)

@@ -181,12 +181,13 @@ def codec(proto: bytes, seed: int, rate: float) -> Codec:
     return Codec(proto, seed, rate)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str = MODEL, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
-    """Per document: doc_id, variant, n_chars, n_pieces, ids, text_sha256 of the decoded pieces, lossless.
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str = MODEL, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS, place_col: str | None = None) -> DataFrame:
+    """Per document: doc_id, variant, n_chars, n_pieces, ids, text_sha256 of the decoded pieces, lossless; and ``place_col``, a number, if given.
 
     The model's file is read by the driver and travels with the task, as one value of fixed size.
     """
     proto = Path(model).read_bytes()
+    place = [place_col] if place_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(proto, seed, rate)
@@ -202,7 +203,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             n = np.array([len(x) // 4 for x in ids], np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.frombuffer(b"".join(ids), np.int32))
             cols = [batch.column(0), pa.array(variant, pa.int32()), pa.array(n_chars, pa.int64()), pa.array(n), lists, pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "variant", "n_chars", "n_pieces", "ids", "text_sha256", "lossless"])
+            yield pa.RecordBatch.from_arrays(cols + batch.columns[2:], ["doc_id", "variant", "n_chars", "n_pieces", "ids", "text_sha256", "lossless", *place])
 
-    schema = "doc_id long, variant int, n_chars long, n_pieces long, ids array<int>, text_sha256 string, lossless boolean"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, variant int, n_chars long, n_pieces long, ids array<int>, text_sha256 string, lossless boolean" + "".join(f", `{c}` long" for c in place)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).cast("long") for c in place)).mapInArrow(run, schema)

@@ -2,12 +2,14 @@
 
 Every stage takes what its predecessor kept and decides over all of it. All but the last return the columns of
 ``documents``: quality drops junk, near-dedup keeps one document of each group, privacy replaces confirmed spans in
-the texts, mixing writes the rows in slot order, encoding turns the texts into pieces.
+the texts, mixing writes the rows in slot order, encoding turns the texts into pieces and
+names each row's slot, by which the result of ``run`` is sorted: files and their order do not carry it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from archweave.llm import mixing, neardup, pieces, pii, quality
 from archweave.llm.common import Stage, ship, table
@@ -34,8 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The slots follow from the ids and the sizes of the sources, which mixing leaves as they are."""
     ship(spark)
-    return pieces.encode_documents(docs)
+    return pieces.encode_documents(mixing.mix(docs, in_order=False), place_col="mix_slot")
 
 
 STAGES = [
@@ -54,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage.write(step(spark, docs, sf_dir))
         if i:
             stage.drop(before)
-    return docs
+    return docs.orderBy("mix_slot", F.col("doc_id").cast("string"))
 
 
 #: The last two stages rest on a vocabulary and hashes that SQL lacks; tests hold each stage against brute force.

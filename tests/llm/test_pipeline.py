@@ -4,8 +4,10 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from archweave.llm import mixing
 from archweave.llm.common import table
 from tests.llm.test_operators import DOC, ODD, PLAIN, SF, brute_components, luhn
 
@@ -78,3 +80,10 @@ def test_mixing_and_pieces_keep_every_row(stages):
 def test_run(spark, stages):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len({r["doc_id"] for r in rows}) == len(rows) > 100 and all(r["lossless"] for r in rows)
+
+
+def test_run_is_in_slot_order(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    kept = table(spark, SF, "documents").filter(F.col("doc_id").isin([r["doc_id"] for r in rows]))
+    slots = {r["doc_id"]: r["mix_slot"] for r in mixing.mix(kept).collect()}
+    assert [r["mix_slot"] for r in rows] == [slots[r["doc_id"]] for r in rows] == sorted(slots.values()) and len(set(slots.values())) > 3
