@@ -9,15 +9,23 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of one key that a task takes whatever the table's size; beyond, as many as leave at most MOST_HOT keys split.
+LEAST_HOT, MOST_HOT = 1024, 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` below ``sf_dir``; only Spark's reader opens the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table ``name`` below ``sf_dir``; only Spark's reader opens the path.
+
+    A table of fewer splits than there are cores, a single row group say, is dealt over them, so that none idles.
+    """
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -38,9 +46,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, on one machine only, a local one."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster has to name its shared folder in spark.checkpoint.dir")
         set_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
@@ -58,11 +68,23 @@ class Stage:
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        # once a table is written, nobody reads the shuffles that made it
+        kept = self.spark.conf.get(FREE_SHUFFLES, "false")
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, kept)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path  # noqa: SLF001  lets drop() find the files
         return out
 
+    def checked(self, df: DataFrame) -> tuple[DataFrame, tuple]:
+        """``write``, and what tells one table's rows from another's: their number and the sum of their hashes."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("sum")))
+        return out, (seen.get["n"], seen.get["sum"])
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in frames:
@@ -71,6 +93,27 @@ class Stage:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def heat(df: DataFrame, each: int = 1) -> int:
+    """Rows of one key that one task takes. Of ``each`` rows a row of ``df``, a staged table, MOST_HOT keys at most have more."""
+    return max(LEAST_HOT, -(-df.count() * each // MOST_HOT))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Each row once for each of the ``ways`` places that its key lies in, named by ``salt``."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+
+
+def meet(big: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Equi-join of ``big`` with ``small``, a staged table with one row per key and the places it takes in ``ways``.
+
+    Rows of ``big`` are dealt over the places of their key by the hash of ``by``; result columns ``ways`` and ``salt``
+    say how. Sent to all tasks are the split keys only, at most MOST_HOT of them if ``ways`` goes by ``heat``.
+    """
+    split = F.broadcast(small.filter("ways > 1").select(*keys, "ways"))
+    dealt = big.join(split, keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("ways", F.lit(1))).cast("int")).drop("ways")
+    return dealt.join(spread(small), [*keys, "salt"])
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Lift a function on one Arrow batch to the iterator that mapInArrow wants."""
 
