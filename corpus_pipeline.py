@@ -21,10 +21,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; the smallest id of a group stays, and rows without an id."""
+    """Five-word shingles, similarity 0.8 or more; of each group one row stays, that of the smallest id."""
     ship(spark)
-    gone = neardup.near_duplicates(docs, k=5, threshold=(80, 100)).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return neardup.keep_one(docs, k=5, threshold=(80, 100))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
