@@ -68,7 +68,7 @@ t AS (SELECT *, greatest(2000, 4 * count(*) OVER ()) AS period, n ** 0.7 AS w FR
 f AS (SELECT *, w / sum(w) OVER () * period AS exact FROM t),
 g AS (SELECT *, greatest(1, CAST(floor(exact) AS BIGINT)) AS low FROM f),
 h AS (SELECT *, period - sum(low) OVER () AS spare, row_number() OVER (ORDER BY low - exact, s) AS turn FROM g),
-k AS (SELECT s, n, CAST(period AS BIGINT) AS period, CAST(low + CASE WHEN turn <= spare THEN 1 ELSE 0 END AS BIGINT) AS share, greatest(1, CAST(ceil(n / 32) AS BIGINT)) AS blocks FROM h),
+k AS (SELECT s, n, CAST(period AS BIGINT) AS period, CAST(low + CASE WHEN turn <= spare THEN 1 ELSE 0 END AS BIGINT) AS share FROM h),
 w AS (SELECT s, share, period, unnest(range(0, share)) AS j FROM k),
 b AS (SELECT s, share, j, j * period // share AS release, ((j + 1) * period + share - 1) // share AS due FROM w),
 a AS (SELECT list({'release': release, 'due': due, 'weight': -share, 's': s, 'j': j} ORDER BY release, due, -share, s) AS todo, max(due) AS period FROM b),
@@ -80,9 +80,9 @@ r AS (
 ), slots AS (
   SELECT slot, p.s AS s, p.j AS j, p.due AS due FROM (SELECT slot, list_min([{'due': x.due, 'weight': x.weight, 's': x.s, 'j': x.j} FOR x IN ready]) AS p FROM r)
 ), dealt AS (
-  SELECT doc_id, source, k.*, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) % blocks AS block FROM documents JOIN k ON k.s = coalesce(source, 'null')
+  SELECT documents.*, k.*, (row_number() OVER (PARTITION BY k.s ORDER BY md5(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) - 1) // 32 AS block FROM documents JOIN k ON k.s = coalesce(source, 'null')
 )
-SELECT doc_id, source, d.s AS mix_source, block AS mix_block, block // d.share * d.period + slot AS mix_slot, block // d.share * d.period + b.release AS mix_release, block // d.share * d.period + slots.due AS mix_deadline
+SELECT doc_id, text, lang, source, n_chars, d.s AS mix_source, block AS mix_block, block // d.share * d.period + slot AS mix_slot, block // d.share * d.period + b.release AS mix_release, block // d.share * d.period + slots.due AS mix_deadline
 FROM dealt d JOIN slots ON slots.s = d.s AND slots.j = block % d.share JOIN b ON b.s = d.s AND b.j = slots.j
 """
 

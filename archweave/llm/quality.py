@@ -6,8 +6,9 @@ heuristics make 3 ** m patterns at most, a fixed bound, so the counts of the who
 of a bounded sample (``TRAIN_ROWS`` documents by keyed hash; a stated bound) train a logistic regression over hashed
 token shapes, which scores every document.
 
-Defined results: null and empty texts get no votes, so their score is the prior, as good; texts are read whole; equal
-texts get equal scores; an empty table gives an empty result; columns but id and text are not read.
+Defined results: null and empty texts get no votes and no features, so they are kept, with the prior as their score;
+texts are read whole; equal texts get equal scores; repeated rows count as one in the sample and each by itself
+elsewhere; an empty table gives an empty result; columns but id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from archweave.llm.common import by_batch
 
 TRAIN_ROWS, DIM, KEEP = 6_000, 4096, 0.5
+#: Tokens from which capitals, repeats and shouts tell junk from a title.
+FEW = 5
 
 #: Frequent function words of four languages, as signs of running text.
 FUNCTION_WORDS = frozenset("the of and to in is that it for with as was der die und das ist nicht mit von den sich le la les de et un une des que pour el los las y en por con del se para".split())
@@ -65,17 +68,17 @@ class Traits:
 
 
 def votes(t: Traits) -> list[int]:
-    """One vote per heuristic; a text of fewer than 5 tokens leaves all of them silent."""
+    """One vote per heuristic; an empty text leaves all of them silent, and shares of few tokens say nothing of most."""
     n = t.n
-    if n < 5:
+    if not n:
         return [0] * len(HEURISTICS)
     known = sum(t.counts.get(w, 0) for w in FUNCTION_WORDS) / n
     # a heuristic that knows one kind of junk has nothing to say about other texts: it is silent, not in favour
-    junk = lambda x, bar: -1 if x > bar else 0
+    junk = lambda x, bar, least=FEW: -1 if n >= least and x > bar else 0
     return [
-        junk(t.signs / n, 0.25), junk(t.caps / n, 0.4), junk(t.cells / n, 0.15), junk(t.stutter, 0.35), junk(t.repeated, 0.45), junk(t.exclaims, 0.25),
+        junk(t.signs / n, 0.25, 1), junk(t.caps / n, 0.4), junk(t.cells / n, 0.15, 1), junk(t.stutter, 0.35), junk(t.repeated, 0.45), junk(t.exclaims, 0.25),
         0 if n < 20 else 1 if known > 0.06 else -1 if known < 0.005 else 0, 0 if n < 30 else -1 if len(t.counts) / n < 0.15 else 1 if t.signs + t.caps + t.cells < 0.02 * n and t.stutter < 0.05 else 0,
-        -1 if t.mean > 25 or t.mean < 2 else 0,
+        -1 if t.mean > 25 or t.mean < 2 and n >= FEW else 0,
     ]
 
 
@@ -140,24 +143,25 @@ class LabelModel:
 
 
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]{2,}"), re.compile(r"\d+")
+_SIGNS = re.compile(r"(([^\w\s])\2)\2+")
 _PLAIN = {False: xxhash.xxh3_64_intdigest("w") % (DIM - 64), True: xxhash.xxh3_64_intdigest("W") % (DIM - 64)}
 
 
 @lru_cache(50_000)
 def outline(token: str) -> int:
     out = _DIGITS.sub("9", _LETTERS.sub(lambda m: "W" if m[0].isupper() else "w", token))
-    return xxhash.xxh3_64_intdigest(out[:12]) % (DIM - 64)
+    return xxhash.xxh3_64_intdigest(_SIGNS.sub(r"\1", out)) % (DIM - 64)
 
 
 def shape(token: str) -> int:
-    """A token's outline, hashed: runs of letters, of digits, and signs as they are, up to 12."""
+    """A token's outline, hashed: runs of letters, of digits, of one sign written twice or more, and other signs as they are."""
     return _PLAIN[token.isupper()] if len(token) > 1 and token.isalpha() else outline(token)
 
 
 def features(t: Traits) -> tuple[np.ndarray, np.ndarray]:
     """Hashed shapes with the square roots of their shares, and places for stutter, repeated lines and shouts."""
     n = t.n
-    if n < 5:
+    if not n:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     shares: dict[int, int] = {}
     for token, c in t.counts.items():
@@ -187,16 +191,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], prior: float) -> tuple
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[LabelModel, np.ndarray, float]:
     model = LabelModel(patterns(docs, text_col))
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.lit("quality"), F.col(id_col)).alias("h"))
+    chosen = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.lit("quality"), F.col(id_col), F.col(text_col)).alias("h"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [Traits(t) for t in batch.column(0).to_pylist()]
+        texts = [Traits(t) for t in batch.column(1).to_pylist()]
         keys, values = zip(*map(features, texts), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([pattern_of(votes(t)) for t in texts], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], ["pattern", "keys", "shares"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([pattern_of(votes(t)) for t in texts], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], ["h", "pattern", "keys", "shares"])
 
-    # ids first, so that a sort of the corpus moves no text; then the few texts
-    ids = chosen.select("doc_id", "h").orderBy("h", "doc_id").limit(TRAIN_ROWS).select("doc_id")
-    sample = chosen.join(F.broadcast(ids.distinct()), "doc_id").select("text").mapInArrow(by_batch(run), "pattern long, keys binary, shares binary").collect()
+    # hashes first, so that a sort of the corpus moves no text; then the few texts, each once however often it comes
+    few = chosen.select("h").distinct().orderBy("h").limit(TRAIN_ROWS)
+    sample = chosen.join(F.broadcast(few), "h").select("h", "text").mapInArrow(by_batch(run), "h long, pattern long, keys binary, shares binary").dropDuplicates(["h"]).orderBy("h").collect()
     good = model.posterior(votes_in(np.array([r["pattern"] for r in sample], np.int64).reshape(-1)))
     rows = [(np.frombuffer(r["keys"], np.int32), np.frombuffer(r["shares"], np.float32), float(g)) for r, g in zip(sample, good, strict=True)]
     return model, *fit(rows, model.prior)

@@ -40,7 +40,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

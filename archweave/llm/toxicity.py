@@ -11,8 +11,9 @@ Labels: rows of ``labels`` with crc32(doc_id as text) mod 5 other than 0, at mos
 (a stated bound; the model is fitted on the driver). The trigram counts cover every document.
 
 Defined results: null text counts as empty; the score of an empty text is the model's base rate; texts are read
-whole; null labels are left out, a document labelled twice counts with its larger label; without any labels every
-score is 0; an empty table gives an empty result.
+whole; null labels are left out, a document labelled twice counts with its larger label, and rows that repeat count once
+in the sample; without any labels every score is next to 0; an empty table gives an empty result; columns but the id,
+the text and the label are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -259,13 +260,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         reader = Reader(model)
         packed = []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             found = [f for t in reader.tokens(text) for f in token_features(t)]
             packed.append(np.unique(np.array(found, np.int32)).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["toxic", "packed"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], ["doc_id", "toxic", "packed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    return rows.select("toxic", "text").mapInArrow(by_batch(run), "toxic int, packed binary").collect()
+    # of an id that has several texts, all of one document's rows are one row of the sample: the one that says most
+    packed = rows.select("doc_id", "toxic", "text").mapInArrow(by_batch(run), "doc_id long, toxic int, packed binary")
+    return packed.groupBy("doc_id", "toxic").agg(F.max_by("packed", F.struct(F.length("packed"), "packed")).alias("packed")).orderBy("doc_id").collect()
 
 
 def fit(rows: list) -> tuple[np.ndarray, float]:
