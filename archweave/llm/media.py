@@ -3,8 +3,9 @@
 ``decode`` follows the GIF89a rules for any file; ``encode`` writes a byte payload as 8-bit samples, one palette
 index per byte, in frames of at most ``FRAME_ROWS`` rows, so memory per frame is bounded however long a text is.
 
-Defined results: null media gives no frames and an error text, as does a stream that breaks off or lacks its
-header; null text counts as empty and becomes one frame of 64 zero bytes; repeated rows give repeated results; an
+Defined results: null media gives no frames and an error text; a stream that breaks off, lacks its header, has a code
+size that samples of a byte cannot have, or asks for a canvas of more than ``MOST_PIXELS`` gives the frames before that
+and an error text; null text counts as empty and becomes one frame of 64 zero bytes; repeated rows give repeated results; an
 empty table gives an empty result; columns but those named are not read.
 """
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from archweave.llm.common import by_batch
 
 WIDTH, FRAME_ROWS, DELAY_CS, BINS = 64, 512, 4, 8
+#: Pixels of a canvas; beyond, a frame's colours would not fit a row.
+MOST_PIXELS = 1 << 28
 CLEAR, STOP, FULL = 256, 257, 4096
 
 #: Palette of the encoder: the red channel is the sample itself, so pixels lead back to the payload.
@@ -113,8 +116,10 @@ def lzw_codes(data: bytes, min_size: int) -> Iterator[list[int]]:
             return
 
 
-def lzw_decode(data: bytes, min_size: int = 8) -> bytes:
-    """Samples of a code stream; raises ValueError on a code beyond the table."""
+def lzw_decode(data: bytes, min_size: int = 8, most: int | None = None) -> bytes:
+    """Samples of a code stream, at least ``most`` if it has them; raises ValueError on a code beyond the table."""
+    if min_size not in _SCHEDULES:
+        raise ValueError("no such code size")
     clear = 1 << min_size
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
@@ -137,6 +142,8 @@ def lzw_decode(data: bytes, min_size: int = 8) -> bytes:
                 add(prev + entry[:1])
                 free += 1
             prev = entry
+        if most is not None and sum(map(len, out)) >= most:
+            break
     return b"".join(out)
 
 
@@ -178,7 +185,9 @@ def decode(media: bytes) -> Iterator[Frame]:
     if flags & 0x80:
         n = 2 << (flags & 7)
         colours, at = np.frombuffer(media, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
-    canvas = np.zeros((h, w, 4), np.uint8)
+    if w * h > MOST_PIXELS:
+        raise ValueError("canvas too large")
+    canvas = None
     delay, disposal, clear_index, start = 0, 0, None, 0
 
     def chained(at: int) -> tuple[bytes, int]:
@@ -207,9 +216,10 @@ def decode(media: bytes) -> Iterator[Frame]:
             if own is None:
                 raise ValueError("no palette")
             body, end = chained(at + 1)
-            samples = np.frombuffer(lzw_decode(body, media[at]), np.uint8)[: fw * fh]
+            samples = np.frombuffer(lzw_decode(body, media[at], fw * fh), np.uint8)[: fw * fh]
             if len(samples) < fw * fh:
                 raise ValueError("too few samples")
+            canvas = np.zeros((h, w, 4), np.uint8) if canvas is None else canvas
             samples = samples.reshape(fh, fw)
             if packed & 0x40:
                 samples = samples[np.argsort(interlaced(fh))]

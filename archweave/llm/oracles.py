@@ -16,12 +16,19 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
+#: Signs of an IBAN by country, in the registry's groups of one length.
+_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "IR IS TR", 27: "BF BI BJ CF CG CM DJ EG FR GA GR IT KM MC MG MR SM TD", 28: "AL AZ BY CI CY DO GQ GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _SIGNS.items()) + ")\\b"
 _KINDS = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "0.9", "mail|contact|kontakt|correo|courriel", "0.1"),
     "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "0.6", "host|server|address|login|adresse", "0.3"),
     "card": (r"[0-9](?:[\x20-]?[0-9])+", "0.8", "card|visa|credit|karte|carte|tarjeta", "0.2"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "0.7", "phone|call|tel|mobile|fax", "0.2"),
-    "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", "0.8", "iban|bank|account|konto|compte|cuenta", "0.2"),
+    "iban": (_IBAN, "0.8", "iban|bank|account|konto|compte|cuenta", "0.2"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "0.4", "ssn|social|security|tax", "0.4"),
 }
 _RAW = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS rank, {b} AS base, {more} AS more, '(?i)(?:{words})' AS words, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS p FROM d" for i, (k, (p, b, words, more)) in enumerate(_KINDS.items()))

@@ -2,12 +2,13 @@
 
 A change is a signed row: +1 inserts a document, -1 deletes it, and a revision is its old row with -1 and its new row
 with +1. A batch becomes additive totals by source, language and tokenizer version, written aside and moved into place
-in one rename; a batch that is in place is never applied again, so a retry or a replay changes nothing. Totals are the
-sum over the batches in place.
+in one rename that never overwrites; a batch that is in place is never applied again, so a retry or a replay changes
+nothing, and of two writers of one batch one alone reports success. Totals are the sum over the batches in place.
+``compact`` folds them into one base with the names of its batches, so that what is read does not grow with time.
 
 Defined results: null text counts as empty; null source or language is a group of its own; repeated rows count as
-often as they occur; a batch without rows is committed as empty; groups whose documents have all gone keep a row of
-zeros out of the totals.
+often as they occur; texts are counted whole; a batch without rows is committed as empty; groups whose documents have
+all gone keep a row of zeros out of the totals; columns but those named are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,30 +79,74 @@ class Rollup:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str, prefix: str) -> list[str]:
+        top = self._path(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName().removeprefix(prefix) for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+
+    def _base(self) -> tuple[str | None, list[str]]:
+        """The newest base and the batches that it holds."""
+        names = self._names("bases", "base=")
+        if not names:
+            return None, []
+        at = f"{self.root}/bases/base={names[-1]}"
+        return at, sorted(r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{at}/batches").collect())
+
     def batches(self) -> list[str]:
-        top = self._path(f"{self.root}/deltas")
-        return sorted(s.getPath().getName().removeprefix("batch=") for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+        return sorted({*self._names("deltas", "batch="), *self._base()[1]})
+
+    def _place(self, aside: str, home: str) -> bool:
+        """Move a folder to a place that must be free; what came too late is deleted."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        there, late = self._path(home), self._path(aside)
+        self._fs.mkdirs(there.getParent())
+        try:
+            never_overwrite = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), conf).rename(late, there, never_overwrite)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+        # a store that moves a folder into one that is there has not put it in place either
+        inside = self._path(f"{home}/{late.getName()}")
+        lost = [p for p in (late, inside) if self._fs.exists(p)]
+        for p in lost:
+            self._fs.delete(p, True)
+        return not lost
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False where it is in place. Two writers of one batch cannot both win the rename."""
+        """Apply a batch once; False where it is in place, or was put there by another writer in the meantime."""
         if not batch or "/" in batch:
             raise ValueError("a batch needs a name without slashes")
-        home = self._path(f"{self.root}/deltas/batch={batch}")
-        if self._fs.exists(home):
+        if batch in self.batches():
             return False
         aside = f"{self.root}/aside/{uuid.uuid4().hex}"
         deltas(changes, self.tokenizers).write.parquet(aside)
-        self._fs.mkdirs(home.getParent())
-        done = not self._fs.exists(home) and self._fs.rename(self._path(aside), home)
-        if not done:
-            self._fs.delete(self._path(aside), True)
-        return bool(done)
+        return self._place(aside, f"{self.root}/deltas/batch={batch}")
+
+    def _rows(self) -> tuple[DataFrame, list[str]]:
+        """Rows to add up, the base and the batches that it lacks, and the names of all of them."""
+        base, held = self._base()
+        new = [b for b in self._names("deltas", "batch=") if b not in held]
+        paths = [f"{self.root}/deltas/batch={b}" for b in new] + ([f"{base}/totals"] if base else [])
+        return (self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)), sorted([*held, *new])
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all committed batches."""
-        names = self.batches()
+        return _summed(self._rows()[0]).filter("docs <> 0 OR tokens <> 0")
+
+    def compact(self) -> bool:
+        """Put a new base in place, then drop the batches that the base before it held already; readers of that one have gone."""
+        rows, names = self._rows()
+        numbers, held = self._names("bases", "base="), self._base()[1]
         if not names:
-            return self.spark.createDataFrame([], DELTA)
-        rows = self.spark.read.schema(DELTA).parquet(*(f"{self.root}/deltas/batch={b}" for b in names))
-        sums = rows.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.filter("docs <> 0 OR tokens <> 0")
+            return False
+        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
+        _summed(rows).write.parquet(f"{aside}/totals")
+        self.spark.createDataFrame([(b,) for b in names], "batch string").coalesce(1).write.parquet(f"{aside}/batches")
+        done = self._place(aside, f"{self.root}/bases/base={int(numbers[-1]) + 1 if numbers else 0:08d}")
+        for old in ([f"bases/base={n}" for n in numbers[:-1]] + [f"deltas/batch={b}" for b in held]) if done else []:
+            self._fs.delete(self._path(f"{self.root}/{old}"), True)
+        return done
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))

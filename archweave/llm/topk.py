@@ -10,9 +10,14 @@ Queries meet candidates block by block: a block of queries is copied to each blo
 BLOCK_QUERIES by BLOCK_ROWS vectors at most in expectation, whatever the tables hold. Equal vectors in a block are
 one entry of the lists with their ids in order, so copies cost a tie nothing.
 
-Defined results: vectors that are null, hold a null or a component that is not finite, or are empty, take no part;
-vectors of different length never meet; ties go to the smaller id; fewer than k candidates give fewer rows; components
-so large that a score might not fit a long are an error.
+Where whole numbers are too large for floating point to add them without loss, the walk goes on until the bound, with
+the largest error there can be on top, is beaten, and all that come within that error of the k-th are scored again in
+whole numbers without limit.
+
+Defined results: vectors that are null, hold a null or a component that is not finite once scaled, or are empty, take
+no part; vectors of different length never meet; ties go to the smaller id; rows that repeat an id are candidates of
+their own, but for queries of that id; fewer than k candidates give fewer rows; a score beyond the range of a long
+counts as the nearest long; an empty table gives an empty result; columns but the two named are not read.
 """
 
 from __future__ import annotations
@@ -23,16 +28,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 16_384
 FIRST_DEPTH = 64
 #: Up to these magnitudes floating point adds whole numbers without loss.
-EXACT = ((np.float32, 2.0**24), (np.float64, 2.0**53), (np.int64, 2.0**62))
+EXACT = ((np.float32, 2.0**24), (np.float64, 2.0**53))
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of every component as long, null unless all components are finite."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when((F.size(vector) > 0) & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    """floor(scale * x) of every component, as double and without loss, null unless all components are finite."""
+    scaled = F.transform(vector, lambda x: x.cast("double") * scale)
+    fine = F.forall(scaled, lambda y: F.coalesce(~F.isnan(y) & (F.abs(y) != float("inf")), F.lit(False)))
+    # beyond 2 ** 53 there are whole numbers only, and floor would have to fit a long
+    floor = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(F.when(F.abs(y) < 2.0**53, y).otherwise(0.0)).cast("double")).otherwise(y)
+    return F.when((F.size(vector) > 0) & fine, F.transform(scaled, floor))
+
+
+def exact(a: np.ndarray, b: np.ndarray) -> int:
+    return min(MOST, max(LEAST, sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))))
 
 
 class Lists:
@@ -49,8 +62,8 @@ class Lists:
         self.sorted = np.take_along_axis(columns, self.up, axis=1)
         self.first = self.ids[self.at[:-1]]
 
-    def top(self, q: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best for a query, without the id ``but``; by score, then id."""
+    def top(self, q: np.ndarray, k: int, but: int, error: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best for a query, without the id ``but``; by score, then id. ``error`` bounds that of a score."""
         n, d = self.x.shape
         used = np.flatnonzero(q)
         seen = np.zeros(n, bool)
@@ -79,34 +92,33 @@ class Lists:
             edge = np.where(down, self.sorted[:, n - depth], self.sorted[:, depth - 1])
             bound = edge @ q
             # k + 1 distinct vectors hold k candidates besides the query itself
-            if len(got) > k and np.partition(score[got], len(got) - k - 1)[len(got) - k - 1] > bound:
+            if len(got) > k and np.partition(score[got], len(got) - k - 1)[len(got) - k - 1] > bound + 2 * error:
                 break
             done, depth = depth, depth * 2
+        self.walked = depth / n, len(got) / n
         s = score[got]
         if len(got) > k + 1:  # all vectors that reach the (k + 1)-th best score
-            got = got[s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]]
-        ids = np.concatenate([self.ids[self.at[i] : min(self.at[i + 1], self.at[i] + k + 1)] for i in got])
-        s = np.repeat(score[got], [min(self.at[i + 1] - self.at[i], k + 1) for i in got])
-        ids, s = ids[ids != but], s[ids != but]
-        best = np.lexsort((ids, -s))[:k]
-        return ids[best], s[best]
+            got = got[s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1] - 2 * error]
+        whole = [exact(self.x[i], q) for i in got] if error else [int(z) for z in score[got]]
+        ranked = sorted((-z, int(key)) for i, z in zip(got, whole, strict=True) for key in self.ids[self.at[i] : min(self.at[i + 1], self.at[i] + k + 1)] if key != but)[:k]
+        return np.array([key for _, key in ranked], np.int64), np.array([-z for z, _ in ranked], np.int64)
 
 
 def block_top(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
-            x, q = (np.array(df["v"].tolist(), np.int64) for df in (rows, queries))
-            largest = float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1]
-            kind = next((k for k, bar in EXACT if largest < bar), None)
-            if kind is None:
-                raise ValueError("scores would not fit a long")
-            lists = Lists(rows["vec_id"].to_numpy(), x.astype(kind))
-            for key, v in zip(queries["vec_id"], q.astype(kind), strict=True):
-                ids, s = lists.top(v, k, key)
+            x, q = (np.array(df["v"].tolist(), np.float64) for df in (rows, queries))
+            with np.errstate(over="ignore"):
+                largest = np.abs(x).max() * np.abs(q).max() * x.shape[1]
+            kind = next((t for t, bar in EXACT if largest < bar), None)
+            lists = Lists(rows["vec_id"].to_numpy(), x.astype(kind or np.float64))
+            for key, v in zip(queries["vec_id"], q.astype(kind or np.float64), strict=True):
+                error = 0.0 if kind else float(np.abs(x).max() * np.abs(v).sum()) * x.shape[1] * 2.0**-52
+                ids, s = lists.top(v, k, key, error)
                 out["query_id"] += [key] * len(ids)
                 out["vec_id"] += ids.tolist()
-                out["score"] += [int(z) for z in s]
+                out["score"] += s.tolist()
         return pd.DataFrame(out).astype("int64")
 
     return run
