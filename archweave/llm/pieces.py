@@ -7,12 +7,13 @@ come out the same in every run. With rate 0 the result is the tokenizer's own. W
 them gives the text back.
 
 A piece never has a space inside, so a text is cut before each run of spaces, and, where no piece of the vocabulary
-joins the two, between letters and other signs; no merge can cross a cut. Chunks are encoded one by one. A bounded memory holds, for a chunk and
-a set of skipped candidates, the merges that follow, so that a place draws for its own candidates and merges anew only
-what no place has skipped in this way before.
+joins the two, between letters and other signs; no merge can cross a cut. A bounded memory holds, for a chunk and a set
+of skipped candidates, the merges that follow. All places of a batch draw for their own candidates at once, and a chunk
+is merged anew only where no place has skipped in this way before.
 
 Defined results: null text counts as empty; empty text has no pieces; U+2581, the sign for a space, is written as
-bytes so that it survives; texts are read whole; repeated rows give repeated results.
+bytes so that it survives; texts are read whole; repeated rows give repeated results; a null id is the name ``None``; an
+empty table gives an empty result; columns but the id, the text and the place are not read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from operator import add
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+U = np.uint64
 SEED, RATE, VARIANTS = 17, 0.1, 2
 VARIANT_STEP, GOLDEN, MIX, MASK = 1_000_003, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 2**64 - 1
-#: Chunks up to SHORT signs are scanned and remembered, KNOWN of them.
-SHORT, KNOWN, NEVER = 48, 300_000, float("inf")
+#: Chunks up to SHORT signs are scanned and remembered, KNOWN of them and of what follows their skips: some 200 bytes each.
+SHORT, KNOWN, NEVER = 48, 700_000, float("inf")
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ▁]+|▁| +")
 #: Finer, for vocabularies without a piece that joins a letter and another sign.
@@ -54,9 +56,15 @@ class Codec:
         ids = range(sp.get_piece_size())
         plain = {sp.id_to_piece(i): i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.id, self.rank = plain.get, {piece: -sp.get_score(i) for piece, i in plain.items()}.get
-        #: By chunk: its ids, the candidates taken for them, each as start << 32 | end, and the same by a candidate
-        #: that is skipped besides.
-        self.known: dict[str, tuple[bytes, list[int], dict]] = {}
+        #: A node is a chunk with some candidates skipped: its ids, the skipped, and the span in ``places`` of the
+        #: candidates taken for it, each as start << 32 | end. ``more`` leads from a node by one more skipped to the next.
+        self.known: dict[str, int] = {}
+        self.more: dict[int, int] = {}
+        self.ids: list[bytes] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.starts, self.ends, self.places = array("q"), array("q"), array("Q")
+        self.start_of, self.end_of, self.place_at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+        self.settled = {"start_of": 0, "end_of": 0, "place_at": 0}
         self.room = KNOWN
         self.chunks = (_CHUNK if any(map(_JOINS.search, plain)) else _FINE_CHUNK).findall
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
@@ -133,43 +141,106 @@ class Codec:
     def encode(self, text: str | None, variant: int = 0, document: object = None) -> list[int]:
         return np.frombuffer(self.packed(text, variant, document), np.int32).tolist()
 
-    def _node(self, chunk: str, skips: frozenset[int], at: dict, name: str | int) -> tuple[bytes, list[int], dict]:
+    def _node(self, chunk: str, skips: tuple[int, ...]) -> int:
+        """The node of a chunk with these candidates skipped, or -1 where there is no room."""
+        if len(self.ids) >= self.room:
+            return -1
         trace: list[int] = []
-        found = self._chunk(chunk, None, trace, skips), trace, {}
-        if self.room:
-            self.room -= 1
-            at[name] = found
-        return found
+        self.ids.append(self._chunk(chunk, None, trace, frozenset(skips)))
+        self.skips.append(skips)
+        self.starts.append(len(self.places))
+        self.places.extend(trace)
+        self.ends.append(len(self.places))
+        return len(self.ids) - 1
+
+    def _skipped(self, nodes: np.ndarray, begin: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the places have a candidate of their node's merges, from ``begin`` on, that is skipped there, and the first of these."""
+        n = self.end_of[nodes] - begin
+        n_th = np.repeat(np.arange(len(nodes)), n)
+        at = np.arange(len(n_th)) + np.repeat(begin - (np.cumsum(n) - n), n)
+        hit = np.flatnonzero((keys[n_th] ^ self.place_at[at]) * U(GOLDEN) < U(self.bar))
+        who = n_th[hit]
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        return who[first], at[hit[first]]
+
+    def packed_many(self, texts: Sequence[str | None], variants: Sequence[int], documents: Sequence[object]) -> list[bytes]:
+        """Ids of many texts as 32-bit numbers. All places draw at once, then those that skip go on with what follows for them."""
+        known, sizes, chunks = self.known, [], []
+        for text in texts:
+            own = self.chunks(" " + text) if text else []
+            sizes.append(len(own))
+            chunks += own
+        if not chunks:
+            return [b""] * len(texts)
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ends = np.cumsum(length)
+        first = np.cumsum(sizes) - sizes
+        offset = ends - length - np.repeat((ends - length)[np.minimum(first, len(chunks) - 1)], sizes)
+        seeds = [xxhash.xxh3_64_intdigest(str(d), seed=self.seed * VARIANT_STEP + v) if self.bar else 0 for d, v in zip(documents, variants, strict=True)]
+        keys = np.repeat(np.array(seeds, U), sizes) + offset.astype(U) * U(GOLDEN)
+        keys = (keys ^ keys >> U(30)) * U(MIX)
+        keys ^= keys >> U(27)
+        nodes = list(map(known.get, chunks))
+        alone: dict[int, bytes] = {}  # places whose chunk is too long to be known, or for which there is no room
+        if None in nodes:
+            for i, node in enumerate(nodes):
+                if node is None:
+                    c = chunks[i]
+                    node = known.get(c, -1)
+                    if node < 0 and len(c) <= SHORT and (node := self._node(c, ())) >= 0:
+                        known[c] = node
+                    if node < 0:
+                        alone[i] = self._chunk(c, int(keys[i]))
+                    nodes[i] = max(node, 0)
+        if self.bar:
+            where = np.arange(len(chunks))
+            node = np.array(nodes, np.int64)
+            if alone:
+                where = np.delete(where, list(alone))
+                node = node[where]
+            begin = None
+            while len(where):
+                self._settle()
+                begin = self.start_of[node] if begin is None else begin
+                who, at = self._skipped(node, begin, keys[where])
+                done = (at - self.start_of[node[who]]).tolist()
+                where, before, place = where[who], node[who].tolist(), self.place_at[at].tolist()
+                after = []
+                for i, old, p in zip(where.tolist(), before, place, strict=True):
+                    name = old << 12 | p >> 26 & 0xFC0 | p & 0x3F  # start and end are below 64 each
+                    new = self.more.get(name)
+                    if new is None:
+                        new = self._node(chunks[i], (*self.skips[old], p))
+                        if new >= 0:
+                            self.more[name] = new
+                        else:
+                            alone[i] = self._chunk(chunks[i], int(keys[i]))
+                    nodes[i] = max(new, 0)
+                    after.append(new)
+                node = np.array(after, np.int64)
+                go_on = node >= 0
+                where, node, done = where[go_on], node[go_on], np.array(done, np.int64)[go_on]
+                self._settle()
+                # the merges before a skipped candidate are the same with and without it
+                begin = self.start_of[node] + done
+        ids = list(map(self.ids.__getitem__, nodes)) if self.ids else [b""] * len(nodes)
+        for i, own in alone.items():
+            ids[i] = own
+        return [b"".join(ids[a : a + n]) for a, n in zip(first.tolist(), sizes, strict=True)]
+
+    def _settle(self) -> None:
+        """The nodes' numbers as arrays; they grow by doubling, so that few nodes more cost little."""
+        for name, numbers, kind in (("place_at", self.places, U), ("start_of", self.starts, np.int64), ("end_of", self.ends, np.int64)):
+            array_, n = getattr(self, name), self.settled[name]
+            if n < len(numbers):
+                if len(numbers) > len(array_):
+                    array_ = np.concatenate([array_, np.zeros(len(numbers) + len(array_), kind)])
+                    setattr(self, name, array_)
+                array_[n : len(numbers)] = np.frombuffer(numbers[n:], kind)
+                self.settled[name] = len(numbers)
 
     def packed(self, text: str | None, variant: int = 0, document: object = None) -> bytes:
-        """Ids as 32-bit numbers, a form that is small and joins fast."""
-        if not text:
-            return b""
-        bar, known = self.bar, self.known
-        base = xxhash.xxh3_64_intdigest(str(document), seed=self.seed * VARIANT_STEP + variant) if bar else 0
-        out, at = [], 0
-        for c in self.chunks(" " + text):
-            key = (base + at * GOLDEN) & MASK
-            key = ((key ^ key >> 30) * MIX) & MASK
-            key ^= key >> 27
-            at += len(c)
-            if len(c) > SHORT:
-                out.append(self._chunk(c, key))
-                continue
-            ids, trace, more = known.get(c) or self._node(c, frozenset(), known, c)
-            skips, i = (), 0
-            while bar and i < len(trace):
-                place = trace[i]
-                if ((key ^ place) * GOLDEN & MASK) >= bar:
-                    i += 1
-                    continue
-                skips += (place,)
-                if place not in more and not self.room:
-                    ids = self._chunk(c, key)
-                    break
-                ids, trace, more = more.get(place) or self._node(c, frozenset(skips), more, place)
-            out.append(ids)
-        return b"".join(out)
+        return self.packed_many([text], [variant], [document])[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -192,11 +263,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(proto, seed, rate)
         for batch in batches:
-            variant, n_chars, ids, sha, same = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                variant.append(xxhash.xxh3_64_intdigest(str(key), seed=seed) % variants)
-                ids.append(own.packed(text, variant[-1], key))
-                back = own.decode(np.frombuffer(ids[-1], np.int32).tolist())
+            n_chars, sha, same = [], [], []
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            variant = [xxhash.xxh3_64_intdigest(str(key), seed=seed) % variants for key in keys]
+            ids = own.packed_many(texts, variant, keys)
+            for text, packed in zip(texts, ids, strict=True):
+                back = own.decode(np.frombuffer(packed, np.int32).tolist())
                 n_chars.append(len(back))
                 sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                 same.append(back == (text or ""))
