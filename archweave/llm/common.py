@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Once a table is written, nobody reads the shuffles that made it.
+FREE_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_BLOOM = "spark.sql.optimizer.runtime.bloomFilter."
+SIFT = {f"{_BLOOM}enabled": "true", f"{_BLOOM}applicationSideScanSizeThreshold": "32m", f"{_BLOOM}creationSideThreshold": "512m"}
 #: Rows of one key that a task takes whatever the table's size; beyond, as many as leave at most MOST_HOT keys split.
 LEAST_HOT, MOST_HOT = 1024, 100_000
 
@@ -45,6 +49,27 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for one action and are then what they were."""
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def sifted(spark: SparkSession):
+    """Joins of a large scan with a small filtered table drop rows by a Bloom filter before the shuffle.
+
+    Spark bounds the filter's bits whatever the table holds (8 MB by default), and the join that follows is exact.
+    """
+    return settings(spark, SIFT)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, on one machine only, a local one."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -68,13 +93,8 @@ class Stage:
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        # once a table is written, nobody reads the shuffles that made it
-        kept = self.spark.conf.get(FREE_SHUFFLES, "false")
-        self.spark.conf.set(FREE_SHUFFLES, "true")
-        try:
+        with settings(self.spark, FREE_SHUFFLES):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.set(FREE_SHUFFLES, kept)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path  # noqa: SLF001  lets drop() find the files
         return out

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archweave.llm.common import Stage, by_batch, heat, meet, spread
+from archweave.llm.common import Stage, by_batch, heat, meet, sifted, spread
 
 T, ROWS = 120, 5
 BANDS = T // ROWS
@@ -251,8 +251,10 @@ def heads_of(docs: DataFrame, tag: Column, k: int, threshold: tuple[int, int], i
     size = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
     star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     star = stage.write(star.join(size("a"), "a").join(size("b"), "b").filter(alike).select("a", "b"))
-    named = stage.write(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "d1", "d2", "head.tag"))
-    sets = stage.write(slim.join(named, "tag").select("id", "d1", "d2", "text").mapInArrow(shingle_sets(k), "id long, s array<long>"))
+    named = stage.write(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "d1", "d2", "n", "head.tag"))
+    # the texts of documents that share no bucket are filtered out where they lie, not after a shuffle of all texts
+    with sifted(docs.sparkSession):
+        sets = stage.write(slim.join(named.filter("n > 0"), "tag").select("id", "d1", "d2", "text").mapInArrow(shingle_sets(k), "id long, s array<long>"))
     if sets.count() > named.count():  # rows that repeat
         sets = stage.write(sets.dropDuplicates(["id"]))
     labels = stage.write(components(stage.write(linked(star, sets, stage, most, of)), stage))
@@ -262,8 +264,10 @@ def heads_of(docs: DataFrame, tag: Column, k: int, threshold: tuple[int, int], i
     stage.drop(members, named)
     # a shingle that no other open document has is in no intersection: so many can be shared at most, and the union is
     # at least the rest. Copies with too many edits of their own fall out here, before any pair is made
-    each = sets.join(found.select("id").distinct(), "id", "left_semi").select("id", F.explode("s").alias("e"))
-    own = each.groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    few = stage.write(sets.join(found.select("id").distinct(), "id", "left_semi"))
+    stage.drop(sets)
+    sets = few
+    own = sets.select("id", F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("own"))
     open_ = stage.write(found.join(own, "id", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").filter(f"{of} * most >= {most} * n"))
     # the member with the fewest shingles of its own stands nearest to what a bucket's members were copied from
     fits = lambda x, y: f"{of} * least({x[0]}, {y[0]}) >= {most} * ({x[1]} + {y[1]} - least({x[0]}, {y[0]}))"
