@@ -20,17 +20,40 @@ SHOWN = 20
 MOST_SUGGESTIONS = 3
 
 
+def grams(name: Column, threshold: float) -> Column:
+    """Keys that two names share wherever their similarity reaches the threshold.
+
+    Names at most (1 - threshold) of the longer one's signs apart share, of the m signs and the m - 1 pairs of signs of
+    the longer one, at least m - (1 - threshold) m and m - 1 - 2 (1 - threshold) m. Where the second number is above
+    nought they meet by pairs of signs; shorter names, and all if it never is, meet by signs as well.
+    """
+    rest = 1 - 2 * (1 - threshold)
+    signs = F.filter(F.split(name, ""), lambda x: x != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2)))
+    if rest <= 0:
+        return F.array_distinct(signs)
+    # the small surplus keeps a threshold's rounding from losing a pair at the edge
+    short = F.length(name) * rest <= 1 + 1e-9
+    return F.array_distinct(F.when(short, F.concat(signs, pairs)).otherwise(pairs))
+
+
 def near_matches(components: DataFrame, queries: DataFrame, *, threshold: float = 0.6, limit: int = 10) -> DataFrame:
-    """Fuzzy lookup. ``queries`` (query_id, name, type?, domain?) is a stated set, sent to every task while it is small
-    enough to broadcast; each component is scored against it where it lies, and only the ``limit`` best go on.
+    """Fuzzy lookup of ``queries`` (query_id, name, type?, domain?) by the similarity of names, ``limit`` best each.
 
-    A row is a match by score, or by a name that is equal but for case with another type or, failing that, domain.
+    Queries and components meet by the signs or pairs of signs that similar names cannot but share, an equi-join, and
+    only those that meet are scored. A row is a match by score; ``mismatch`` says where a name that is equal but for
+    case has another type or, failing that, domain. The threshold has to be above nought: at nought all is alike.
     """
+    if not 0 < threshold <= 1:
+        raise GraphError("INVALID_THRESHOLD", f"Threshold has to be above 0 and at most 1: {threshold}")
     q = queries.select("query_id", F.col("name").alias("q_name"), *(F.col(c).alias(f"q_{c}") if c in queries.columns else F.lit(None).cast("string").alias(f"q_{c}") for c in ("type", "domain"))).filter("q_name <> ''")
-    pairs = components.select(G, "ord", "id", "name", "type", "domain").join(F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q, T.similarity(F.col("q_name"), F.col("name")) > -1)
+    c = components.select(G, "ord", "id", "name", "type", "domain").filter("name <> ''")
+    keyed = lambda df, name: df.withColumn("gram", F.explode(grams(F.lower(name), threshold)))
+    fits = F.least(F.length("q_name"), F.length("name")) >= F.greatest(F.length("q_name"), F.length("name")) * (threshold - 1e-9)
+    met = keyed(q, "q_name").join(keyed(c, "name"), "gram").filter(fits).drop("gram").distinct()
     same = F.lower("q_name") == F.lower("name")
     kind = F.when(same & F.col("q_type").isNotNull() & (F.col("q_type") != F.col("type")), "type").when(same & F.col("q_domain").isNotNull() & (F.col("q_domain") != F.col("domain")), "domain")
-    scored = pairs.withColumns({"score": T.similarity(F.col("q_name"), F.col("name")), "mismatch": kind}).filter((F.col("score") >= threshold) | F.col("mismatch").isNotNull())
+    scored = met.withColumns({"score": T.similarity(F.col("q_name"), F.col("name")), "mismatch": kind}).filter(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "rank", G, "id", "name", "type", "domain", "score", "mismatch")
 
@@ -177,7 +200,7 @@ class Builder:
 
     def build(self) -> Graph:
         """The graph, if it has no errors; else one error that tells them all."""
-        errors = [r["message"] for r in self.validate().select("message").limit(1000).collect()]
+        errors = [r["message"] for r in self.validate().select("message").collect()]
         if errors:
             raise GraphError("BUILD_VALIDATION", "Validation failed: " + "; ".join(errors))
         return self.graph

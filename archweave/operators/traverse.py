@@ -86,17 +86,17 @@ def search_nodes(graph: Graph, query: str) -> DataFrame:
 def flows(graph: Graph) -> DataFrame:
     """(entry, id, depth, step, link_type): depth-first preorder from every entry point.
 
-    A node's place is the least simple path of link ordinals that leads to it, its depth the length of that path: of
-    two paths the smaller one is walked first. ``link_type`` is that of the node's first outgoing link.
+    A node's place is the least path of link ordinals that leads to it, its depth the length of that path: of two paths
+    the smaller one is walked first. A path that comes back to a node starts with a smaller one to it, so it is never
+    kept, and least paths are simple by themselves. ``link_type`` is that of the node's first outgoing link.
     """
     ids = graph.components.select(G, "id").distinct()
     edges = _edges(graph).join(ids.withColumnRenamed("id", "source"), [G, "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), [G, "target"], "left_semi")
     hop, _ = Rounds(graph.spark).save(edges.select(G, F.col("source").alias("id"), "target", "ord"))
-    start = entry_points(graph).select(G, F.col("id").alias("entry"), "id", F.array().cast("array<bigint>").alias("path"), F.array("id").alias("nodes")).dropDuplicates([G, "entry"])
+    start = entry_points(graph).select(G, F.col("id").alias("entry"), "id", F.array().cast("array<bigint>").alias("path")).dropDuplicates([G, "entry"])
 
     def step(new: DataFrame) -> DataFrame:
-        on = new.join(hop, [G, "id"]).filter(~F.array_contains("nodes", F.col("target")))
-        return on.select(G, "entry", F.col("target").alias("id"), F.concat("path", F.array("ord")).alias("path"), F.concat("nodes", F.array("target")).alias("nodes"))
+        return new.join(hop, [G, "id"]).select(G, "entry", F.col("target").alias("id"), F.concat("path", F.array("ord")).alias("path"))
 
     best = least_by_key(start, step, [G, "entry", "id"], "path")
     first = graph.links.groupBy(G, F.col("source").alias("id")).agg(F.min_by(F.struct("type"), "ord")["type"].alias("link_type"))
@@ -109,11 +109,11 @@ def flow_external_links(graph: Graph, steps: DataFrame) -> DataFrame:
     return steps.join(graph.external_links.select(G, F.col("source").alias("id"), F.col("ord").alias("external_ord"), F.col("target.name").alias("external_name")), [G, "id"])
 
 
-def longest_depths(graph: Graph, *, most_walks: int = 1_000_000) -> DataFrame:
+def longest_depths(graph: Graph, *, most_walks: int | None = None) -> DataFrame:
     """Hops of the longest walk that leads to a node over distinct nodes; closing a cycle counts as a hop.
 
     Nodes are peeled layer by layer: one whose sources all lie in earlier layers has its layer as its depth. Nodes in
-    or below cycles are left over; their walks are spelt out, an error past ``most_walks`` rather than a wrong answer.
+    or below cycles are left over; their walks are spelt out, with an error past ``most_walks`` if that is given.
     """
     rounds = Rounds(graph.spark)
     ids = graph.components.select(G, "id").distinct()
@@ -140,7 +140,7 @@ def longest_depths(graph: Graph, *, most_walks: int = 1_000_000) -> DataFrame:
     best = []
     while not walks.isEmpty():
         walks, _ = rounds.save(walks)
-        if walks.count() > most_walks:
+        if most_walks is not None and walks.count() > most_walks:
             raise RuntimeError(f"more than {most_walks} walks through cycles")
         on = walks.join(back, [G, "at"]).join(known, [G, "source"], "left")
         ends = on.filter(F.col("known").isNotNull() | F.array_contains("nodes", F.col("source")))
@@ -164,13 +164,12 @@ def filter_by_type(graph: Graph, visible: list[str]) -> tuple[DataFrame, DataFra
     e = graph.links.select(G, "ord", "source", "target", "type")
     from_seen = e.join(of(seen, "source"), [G, "source"], "left_semi")
     direct = from_seen.join(of(seen, "target"), [G, "target"], "left_semi").withColumn("rewired", F.lit(False))
-    start = from_seen.join(of(hidden, "target"), [G, "target"], "left_semi").select(G, F.col("source").alias("entry"), F.col("target").alias("id"), F.array("ord").alias("path"), F.array("target").alias("nodes"))
+    start = from_seen.join(of(hidden, "target"), [G, "target"], "left_semi").select(G, F.col("source").alias("entry"), F.col("target").alias("id"), F.array("ord").alias("path"))
     inner = e.join(of(hidden, "source"), [G, "source"], "left_semi")
     hop, _ = Rounds(graph.spark).save(inner.join(of(hidden, "target"), [G, "target"], "left_semi").select(G, F.col("source").alias("id"), "target", "ord"))
 
     def step(new: DataFrame) -> DataFrame:
-        on = new.join(hop, [G, "id"]).filter(~F.array_contains("nodes", F.col("target")))
-        return on.select(G, "entry", F.col("target").alias("id"), F.concat("path", F.array("ord")).alias("path"), F.concat("nodes", F.array("target")).alias("nodes"))
+        return new.join(hop, [G, "id"]).select(G, "entry", F.col("target").alias("id"), F.concat("path", F.array("ord")).alias("path"))
 
     met = least_by_key(start, step, [G, "entry", "id"], "path")
     out = inner.join(of(seen, "target"), [G, "target"], "left_semi").select(G, F.col("source").alias("id"), "target", "ord", "type")

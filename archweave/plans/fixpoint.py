@@ -13,9 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 10_000
-
-
 class Rounds:
     """Tables written between rounds."""
 
@@ -23,6 +20,8 @@ class Rounds:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("a cluster has to name its shared folder in spark.checkpoint.dir")
             root = "file://" + tempfile.mkdtemp(prefix="rounds-")
             spark.sparkContext.setCheckpointDir(root)
         self.root, self.n = f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}", 0
@@ -41,7 +40,7 @@ class Rounds:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def frontier(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def frontier(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
     """Breadth first: rows of ``start``, then what ``step`` makes of the newest rows and whose ``keys`` are new.
 
     ``start`` has to be distinct on ``keys``. A round joins the newest rows only; what is known is read, not redone.
@@ -50,22 +49,20 @@ def frontier(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: lis
     new, path = rounds.save(start)
     paths = [path]
     while not new.isEmpty():
-        if len(paths) > most_rounds:
-            raise RuntimeError(f"no fixed point in {most_rounds} rounds")
         known = rounds.load(paths, new).select(keys)
         new, path = rounds.save(step(new).dropDuplicates(keys).join(known, keys, "left_anti").select(start.columns))
         paths.append(path)
     return rounds.load(paths, new)
 
 
-def least_by_key(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def least_by_key(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str) -> DataFrame:
     """Label correcting: per ``keys`` the row with the least ``value``, where ``step`` extends rows that got better."""
     rounds = Rounds(start.sparkSession)
     rest = [c for c in start.columns if c not in keys and c != value]
     best_of = lambda df: df.groupBy(*keys).agg(F.min(F.struct(value, *rest)).alias("b")).select(*keys, "b.*").select(start.columns)
     best, best_path = rounds.save(best_of(start))
     better, better_path = best, None
-    for _ in range(most_rounds):
+    while True:
         found = best_of(step(better))
         old = best.select(*keys, F.col(value).alias("__old"))
         gained, gained_path = rounds.save(found.join(old, keys, "left").filter(F.col("__old").isNull() | (F.col(value) < F.col("__old"))).drop("__old"))
@@ -76,4 +73,3 @@ def least_by_key(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys:
         merged, merged_path = rounds.save(best.join(gained.select(keys), keys, "left_anti").select(start.columns).union(gained.select(start.columns)))
         rounds.drop(best_path)
         best, best_path, better, better_path = merged, merged_path, gained, gained_path
-    raise RuntimeError(f"no fixed point in {most_rounds} rounds")

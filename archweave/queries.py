@@ -21,7 +21,7 @@ from archweave.sources import star
 K = star.KIND
 
 PREFIX = f"""
-WITH RECURSIVE C AS (
+WITH RECURSIVE C AS MATERIALIZED (
   SELECT CAST(c_custkey AS BIGINT) AS ord, 'ui:' || c_custkey AS id, 'UI' AS type, c_name AS name, n_name AS domain, c_mktsegment AS module, '/customers/' || c_custkey AS route, CAST(NULL AS VARCHAR) AS http_method, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS entity, CAST(NULL AS VARCHAR) AS operation_name, CAST(NULL AS VARCHAR) AS custom_type, CAST(NULL AS VARCHAR) AS event_name, 'customer/' || c_custkey AS file FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT {K} + o_orderkey, 'api:' || o_orderkey, 'API', 'Order ' || o_orderkey, n_name, o_orderpriority, NULL, CASE WHEN o_orderstatus = 'O' THEN 'POST' ELSE 'GET' END, '/orders/' || o_orderstatus, NULL, NULL, NULL, NULL, 'orders/' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT {2 * K} + p_partkey, 'op:' || p_partkey, 'DomainOp', p_name, p_type, p_brand, NULL, NULL, NULL, p_brand, p_name, NULL, NULL, 'part/' || p_partkey FROM part
@@ -29,7 +29,7 @@ WITH RECURSIVE C AS (
   UNION ALL SELECT {4 * K} + ascii(event_type) * 256 + ascii(substr(event_type, 2, 1)), 'ev:' || event_type, 'Event', event_type, 'events', 'stream', NULL, NULL, NULL, NULL, NULL, NULL, event_type, 'events/' || event_type FROM (SELECT DISTINCT event_type FROM events)
   UNION ALL SELECT {5 * K} + s_suppkey, 'eh:' || s_suppkey, 'EventHandler', s_name, n_name, 'suppliers', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'supplier/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT {6 * K} + r_regionkey, 'cu:' || r_regionkey, 'Custom', r_name, 'regions', 'regions', NULL, NULL, NULL, NULL, NULL, CASE WHEN r_regionkey % 2 = 0 THEN 'Area' ELSE 'Zone' END, NULL, 'region/' || r_regionkey FROM region
-), L AS (
+), L AS MATERIALIZED (
   SELECT {K} + o_custkey * 1000000000 + o_orderkey AS ord, 'ui:' || o_custkey AS source, 'api:' || o_orderkey AS target, 'sync' AS type FROM orders
   UNION ALL SELECT {2 * K} + l_orderkey * 1000000000 + l_partkey, 'api:' || l_orderkey, 'op:' || l_partkey, CASE WHEN l_partkey % 7 <> 0 THEN 'sync' END FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
   UNION ALL SELECT {3 * K} + l_partkey * 1000000000 + l_suppkey, 'op:' || l_partkey, 'eh:' || l_suppkey, 'async' FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
@@ -52,9 +52,9 @@ WITH RECURSIVE C AS (
 )"""
 
 #: The graph after the changes of ``star.later``.
-AFTER = """, C2 AS (
+AFTER = """, C2 AS MATERIALIZED (
   SELECT ord, id, type, CASE WHEN type = 'UI' AND module = 'FURNITURE' THEN name || ' (moved)' ELSE name END AS name, CASE WHEN type = 'DomainOp' AND module = 'Brand#1' THEN 'moved' ELSE domain END AS domain, module FROM C WHERE NOT (type = 'API' AND path = '/orders/P')
-), L2 AS (SELECT ord, source, target, CASE WHEN source LIKE 'op:%' THEN 'sync' ELSE type END AS type FROM L WHERE source NOT LIKE 'cu:%'
+), L2 AS MATERIALIZED (SELECT ord, source, target, CASE WHEN source LIKE 'op:%' THEN 'sync' ELSE type END AS type FROM L WHERE source NOT LIKE 'cu:%'
 ), E2 AS (SELECT L2.*, a.domain AS source_domain, b.domain AS target_domain, b.type AS target_type FROM L2 JOIN C2 a ON a.id = L2.source JOIN C2 b ON b.id = L2.target)"""
 
 _COUNTS = "count(*) FILTER (target_type = 'API') AS api_count, count(*) FILTER (target_type = 'EventHandler') AS event_count"
@@ -167,6 +167,17 @@ simple("compare_by_type", lambda g: compare.node_changes_by(g, star.later(g), "t
 simple("connection_diff", lambda g: compare.connection_diff(g, star.later(g)).drop("graph_id"), AFTER + f", PA AS (SELECT source_domain, target_domain, {_COUNTS} FROM E WHERE source_domain <> target_domain GROUP BY ALL), PB AS (SELECT source_domain, target_domain, {_COUNTS} FROM E2 WHERE source_domain <> target_domain GROUP BY ALL) SELECT coalesce(PB.source_domain, PA.source_domain) AS source_domain, coalesce(PB.target_domain, PA.target_domain) AS target_domain, CASE WHEN PA.source_domain IS NULL THEN 'added' WHEN PB.source_domain IS NULL THEN 'removed' ELSE 'unchanged' END AS status, coalesce(PB.api_count, PA.api_count) AS api_count, coalesce(PB.event_count, PA.event_count) AS event_count FROM PA FULL JOIN PB ON PA.source_domain = PB.source_domain AND PA.target_domain = PB.target_domain")
 simple("change_items", lambda g: select.filter_changes(compare.change_items(g, star.later(g)), change="modified", type_="UI").select("id", "name", "domain"), AFTER + " SELECT C2.id, C2.name, C2.domain FROM C2 JOIN C ON C.id = C2.id WHERE C2.type = 'UI' AND C2.name <> C.name")
 
+simple("components_in_domain", lambda g: select.components_in_domain(g, "NATION_3").select(*_FOUR), " SELECT id, type, name, domain FROM C WHERE domain = 'NATION_3'")
+simple("components_by_type", lambda g: select.components_by_type(g, "EventHandler").select(*_FOUR), " SELECT id, type, name, domain FROM C WHERE type = 'EventHandler'")
+simple("entity_filter", lambda g: select.filter_entities(entities.entities(g), "brand#1", "all").select("domain", "name"), " SELECT DISTINCT domain, entity AS name FROM C WHERE type = 'DomainOp' AND (contains(lower(entity), 'brand#1') OR contains(lower(domain), 'brand#1'))")
+simple("domain_filter", lambda g: select.filter_domains(g.domains, "NATION", "domain").select("name", "description"), " SELECT name, description FROM DM WHERE (contains(lower(name), 'nation') OR contains(lower(description), 'nation')) AND system_type = 'domain'")
+simple("event_filter", lambda g: select.filter_events(events.published_events(g), "c", ["events"]).select("event_id", "event_name"), " SELECT id AS event_id, event_name FROM C WHERE type = 'Event' AND contains(lower(event_name), 'c') AND domain = 'events'")
+simple("flow_filter", lambda g: select.filter_flows(A.entry_points(g).select(F.col("id").alias("entry"), F.col("name").alias("entry_name"), F.col("type").alias("entry_type"), F.col("domain").alias("entry_domain")), "customer", "ui", ["NATION_3", "NATION_4"]).select("entry", "entry_name"), " SELECT id AS entry, name AS entry_name FROM EP WHERE type = 'UI' AND contains(lower(name), 'customer') AND domain IN ('NATION_3', 'NATION_4')")
+simple("step_nodes", lambda g: select.step_nodes(g.components).select("id", F.array_join("subscribed_events", ",").alias("subscribed_events"), "http_method", "path"), " SELECT C.id, string_agg(S.event_name, ',' ORDER BY S.place) AS subscribed_events, C.http_method, C.path FROM C LEFT JOIN S ON S.id = C.id GROUP BY C.id, C.http_method, C.path")
+simple("canonical_types", lambda g: g.components.select("id", T.canonical_type(F.upper("type")).alias("canonical"), T.valid_http_method(F.lower("http_method")).alias("valid_method"), T.edge_kind(F.col("type")).alias("kind")), " SELECT id, type AS canonical, CASE WHEN http_method IS NOT NULL THEN true END AS valid_method, CASE WHEN type = 'Event' THEN 'event' ELSE 'default' END AS kind FROM C")
+simple("parsed_pairs", lambda g: g.components.select("id", T.key_value(F.col("id")).alias("kv"), T.state_pair(F.col("id")).alias("pair"), T.comma_list(F.concat(F.lit(" ,"), "id", F.lit(" , "), "type")).alias("listed")).select("id", "kv.key", "kv.value", F.col("pair.from").alias("first"), F.col("pair.to").alias("last"), F.array_join("listed", "|").alias("listed")), " SELECT id, split_part(id, ':', 1) AS key, substr(id, instr(id, ':') + 1) AS value, split_part(id, ':', 1) AS first, split_part(id, ':', 2) AS last, id || '|' || type AS listed FROM C")
+simple("code_urls", lambda g: g.components.select("id", T.code_url("https://code.example/", "org", F.col("source_location.repository"), "main", F.col("source_location.file_path"), F.lit(7)).alias("url"), T.pluralize(F.length("id") % 3, "entry", "entries").alias("word"), T.id_name(T.component_id(F.col("domain"), F.col("module"), F.col("type"), F.lit("One Name"))).alias("id_name")), " SELECT id, 'https://code.example/org/shop/blob/main/' || file || '#L7' AS url, CASE WHEN length(id) % 3 = 1 THEN 'entry' ELSE 'entries' END AS word, CASE WHEN contains(domain || module, ':') THEN NULL ELSE 'one-name' END AS id_name FROM C")
+
 
 @query("near_matches", """, Q(query_id, q_name, q_type) AS (VALUES ('a', 'small rings', 'DomainOp'), ('b', 'Africa', 'API'), ('c', 'Supplier#00000001', NULL)),
 P AS (SELECT query_id, ord, id, CASE WHEN least(length(name), length(q_name)) = 0 THEN 0.0 ELSE 1 - CAST(levenshtein(lower(q_name), lower(name)) AS DOUBLE) / greatest(length(name), length(q_name)) END AS score, CASE WHEN lower(q_name) = lower(name) AND q_type <> type THEN 'type' END AS mismatch FROM C, Q)
