@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
@@ -90,20 +90,20 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, *told: Column) -> DataFrame:
+        """The table as it is read from storage. Its number of rows, and what ``told`` says of it, are seen as it is written."""
         self.count += 1
-        path = f"{self.root}/{self.count}"
+        path, seen = f"{self.root}/{self.count}", Observation()
         with settings(self.spark, FREE_SHUFFLES):
-            df.write.parquet(path)
+            df.observe(seen, F.count(F.lit(1)).alias("rows"), *told).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._staged_at = path  # noqa: SLF001  lets drop() find the files
+        out._staged_at, out._seen = path, seen.get  # noqa: SLF001  drop() finds the files by the one, heat() the rows by the other
         return out
 
     def checked(self, df: DataFrame) -> tuple[DataFrame, tuple]:
         """``write``, and what tells one table's rows from another's: their number and the sum of their hashes."""
-        seen = Observation()
-        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("sum")))
-        return out, (seen.get["n"], seen.get["sum"])
+        out = self.write(df, F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("sum"))
+        return out, (out._seen["rows"], out._seen["sum"])  # noqa: SLF001
 
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -115,7 +115,7 @@ class Stage:
 
 def heat(df: DataFrame, each: int = 1) -> int:
     """Rows of one key that one task takes. Of ``each`` rows a row of ``df``, a staged table, MOST_HOT keys at most have more."""
-    return max(LEAST_HOT, -(-df.count() * each // MOST_HOT))
+    return max(LEAST_HOT, -(-df._seen["rows"] * each // MOST_HOT))  # noqa: SLF001
 
 
 def spread(df: DataFrame) -> DataFrame:

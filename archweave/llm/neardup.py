@@ -158,22 +158,23 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes; each halves the depth, so rounds grow with the
     logarithm of the diameter, and both are aggregates over edges that combine before the shuffle.
     """
-    now, before = stage.checked(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    now, told = stage.checked(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
         ways = F.ceil(F.count("*") / heat(now, 2)).cast("int").alias("ways")
         # large star: every larger neighbour of u points to the least of u and its neighbours
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w"), ways).select("u", F.least("u", "w").alias("m"), "ways")
-        large = stage.write(meet(both, least, ["u"], "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large, told_large = stage.checked(meet(both, least, ["u"], "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # if the large star changes nothing and every u has one v, no v points further: these are stars around the least ids
+        if told_large == told and large.groupBy("u").count().filter("count > 1").isEmpty():
+            stage.drop(large)
+            return now.select(F.col("u").alias("id"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
         # small star: u and its smaller neighbours point to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"), ways)
         small = meet(large, low, ["u"], "v").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after, told = stage.checked(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         stage.drop(now, large)
         now = after
-        if told == before:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
-        before = told
 
 
 def joined(labels: DataFrame, edges: DataFrame, stage: Stage) -> DataFrame:
