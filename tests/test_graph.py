@@ -10,6 +10,7 @@ from archweave.functions import text as T
 from archweave.graph import GraphError
 from archweave.operators import aggregate as A
 from archweave.operators import build, compare, declarations, entities, events, select, traverse, validate
+from archweave.operators import flows as flows_of
 from archweave.sources import documents
 from archweave.streaming.counters import link_counts, link_stream
 from tests.graphs import document, graph, link, node
@@ -331,3 +332,20 @@ def test_streaming_counts(spark, tmp_path):
     q = link_counts(link_stream(spark, f"{tmp_path}/in")).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["type"], r["n"]) for r in spark.table("counts").collect()) == [("sync", 1), ("unknown", 1)]
+
+
+def test_flows_blocks(spark, monkeypatch):
+    """Small blocks, slices without rows and blocks too wide for one task give the flows that whole ones give, and no path is kept."""
+    rng = random.Random(5)
+    made = {f"g{i}": random_graph(rng) for i in range(6)}
+    g = documents.parse(spark.createDataFrame([(k, document(*v)) for k, v in made.items()], "graph_id string, value string"))
+    want = {(k, e, i, d, n) for k, v in made.items() for e, s in flow_model(*v).items() for n, (i, d) in enumerate(s, 1)}
+    got = lambda df: {(r["graph_id"], r["entry"], r["id"], r["depth"], r["step"]) for r in df.collect()}
+    monkeypatch.setattr(flows_of, "ENTRIES", 2)
+    small = flows_of.flows(g)
+    assert got(small) == want and "array<bigint>" not in small._jdf.queryExecution().toString()
+    assert got(flows_of.flows(g, most_links=3)) == want
+    of = g.components.select("graph_id", "id").distinct().filter("id IN ('n1', 'n4')").withColumn("carried", F.array("id"))
+    for most in (3, 10**6):
+        some = flows_of.flows(g, of, most_links=most)
+        assert got(some) == {w for w in want if w[2] in ("n1", "n4")} and all(r["carried"] == [r["id"]] for r in some.collect())
