@@ -18,6 +18,8 @@ empty table gives an empty result; columns but the id, the text and the place ar
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import re
 from array import array
@@ -33,6 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archweave.llm.common import keeps, turn
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 U = np.uint64
 SEED, RATE, VARIANTS = 17, 0.1, 2
@@ -252,6 +256,17 @@ def codec(proto: bytes, seed: int, rate: float) -> Codec:
     return Codec(proto, seed, rate)
 
 
+def forget() -> None:
+    if codec.cache_info().currsize:
+        codec.cache_clear()
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # else glibc keeps what is free
+            libc.malloc_trim(0)
+
+
+keeps(__name__, forget)
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str = MODEL, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS, place_col: str | None = None) -> DataFrame:
     """Per document: doc_id, variant, n_chars, n_pieces, ids, text_sha256 of the decoded pieces, lossless; and ``place_col``, a number, if given.
 
@@ -261,6 +276,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     place = [place_col] if place_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn(forget.__module__)
         own = codec(proto, seed, rate)
         for batch in batches:
             n_chars, sha, same = [], [], []

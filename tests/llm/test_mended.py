@@ -4,13 +4,15 @@ import collections
 import hashlib
 import math
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from archweave.llm import media, mixing, neardup, quality, sitetree, tokencounts, topk
-from archweave.llm.common import LEAST_HOT, ship
+from archweave.llm import media, mixing, neardup, pieces, quality, sitetree, tokencounts, topk
+from archweave.llm.common import LEAST_HOT, ship, turn
 
 
 def test_any_altered_gif_is_frames_or_an_error(spark):
@@ -146,3 +148,14 @@ def test_deep_pages_take_linear_time():
         sitetree.observed(sitetree.parse("<div>a" * n))
         took.append(time.perf_counter() - began)
     assert took[1] < 30 * took[0]
+
+
+def test_a_worker_keeps_one_stage_in_memory():
+    """What encoding remembers of chunks went on filling the worker while near-dedup ran in it."""
+    proto = Path(pieces.MODEL).read_bytes()
+    pieces.codec(proto, 1, 0.1).packed_many(["some words"], [0], [1])
+    turn("archweave.llm.pieces")
+    assert pieces.codec.cache_info().currsize == 1
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "tag": [2], "text": ["some words of a text"]})
+    assert sum(b.num_rows for b in neardup.fingerprints(3)(iter([batch]))) == 1
+    assert pieces.codec.cache_info().currsize == 0
