@@ -11,6 +11,7 @@ from archweave.graph import GraphError
 from archweave.operators import aggregate as A
 from archweave.operators import build, compare, declarations, entities, events, select, traverse, validate
 from archweave.operators import flows as flows_of
+from archweave.plans.fixpoint import Rounds
 from archweave.sources import documents
 from archweave.streaming.counters import link_counts, link_stream
 from tests.graphs import document, graph, link, node
@@ -349,3 +350,25 @@ def test_flows_blocks(spark, monkeypatch):
     for most in (3, 10**6):
         some = flows_of.flows(g, of, most_links=most)
         assert got(some) == {w for w in want if w[2] in ("n1", "n4")} and all(r["carried"] == [r["id"]] for r in some.collect())
+
+
+def test_flows_read_without_shuffle(spark, monkeypatch, tmp_path):
+    """What flows are walked over is all that is left on disk when they are read, and reading shuffles nothing."""
+    rng = random.Random(6)
+    made = {f"g{i}": random_graph(rng) for i in range(8)}
+    g = documents.parse(spark.createDataFrame([(k, document(*v)) for k, v in made.items()], "graph_id string, value string"))
+    want = {(k, e, i, d, n) for k, v in made.items() for e, s in flow_model(*v).items() for n, (i, d) in enumerate(s, 1)}
+    monkeypatch.setattr(flows_of, "ENTRIES", 2)
+    monkeypatch.setattr(flows_of, "LEAST_ENTRIES", 1)
+    monkeypatch.setattr(flows_of, "SLICES", 2)
+    monkeypatch.setattr(flows_of, "Rounds", lambda spark: at_root(spark, tmp_path))
+    flows = flows_of.flows(g)
+    assert "Exchange" not in flows._jdf.queryExecution().executedPlan().toString().split("Location")[0]
+    assert len(list(tmp_path.glob("*"))) == 2  # packed blocks, and the empty list of those too wide
+    assert {(r["graph_id"], r["entry"], r["id"], r["depth"], r["step"]) for r in flows.collect()} == want
+
+
+def at_root(spark, root):
+    rounds = Rounds(spark)
+    rounds.root = f"file://{root}"
+    return rounds
