@@ -8,8 +8,8 @@ them gives the text back.
 
 A piece never has a space inside, so a text is cut before each run of spaces, and, where no piece of the vocabulary
 joins the two, between letters and other signs; no merge can cross a cut. A bounded memory holds, for a chunk and a set
-of skipped candidates, the merges that follow. All places of a batch draw for their own candidates at once, and a chunk
-is merged anew only where no place has skipped in this way before.
+of skipped candidates, the merges that follow. All places of a batch draw for their own candidates at once; those whose
+chunk or skips the memory does not hold are merged together, one candidate of each a round.
 
 Defined results: null text counts as empty; empty text has no pieces; U+2581, the sign for a space, is written as
 bytes so that it survives; texts are read whole; repeated rows give repeated results; a null id is the name ``None``; an
@@ -42,7 +42,8 @@ U = np.uint64
 SEED, RATE, VARIANTS = 17, 0.1, 2
 VARIANT_STEP, GOLDEN, MIX, MASK = 1_000_003, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 2**64 - 1
 #: Chunks up to SHORT signs are scanned and remembered, KNOWN of them and of what follows their skips: some 200 bytes each.
-SHORT, KNOWN, NEVER = 48, 700_000, float("inf")
+SHORT, KNOWN, NEVER, LAST = 48, 120_000, float("inf"), 2**31 - 1
+AT_ONCE = 1 << 19
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ▁]+|▁| +")
 #: Finer, for vocabularies without a piece that joins a letter and another sign.
@@ -71,12 +72,116 @@ class Codec:
         self.settled = {"start_of": 0, "end_of": 0, "place_at": 0}
         self.room = KNOWN
         self.chunks = (_CHUNK if any(map(_JOINS.search, plain)) else _FINE_CHUNK).findall
+        self._pairs(plain)
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.raw = [sp.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
         self.seed, self.bar = seed, int(rate * 2**64)
 
+    def _pairs(self, plain: dict[str, int]) -> None:
+        """Signs as symbols, and which two symbols make which piece, in a table that is looked up by hash."""
+        signs = sorted({c for piece in plain for c in piece})
+        extra = max(plain.values(), default=-1) + 1
+        symbol = plain | {c: extra + i for i, c in enumerate(c for c in signs if c not in plain)}
+        self.n_plain, self.n_symbols = extra, extra + len(signs) + 1
+        self.sign = np.full(0x110000, self.n_symbols - 1, np.int32)  # the last stands for signs that no piece holds
+        self.sign[[ord(c) for c in signs]] = [symbol[c] for c in signs]
+        self.sign[ord(" ")] = self.sign[ord(SPACE)]
+        made = {(symbol[a], symbol[b]): i for piece, i in plain.items() for k in range(1, len(piece)) if (a := piece[:k]) in symbol and (b := piece[k:]) in symbol}
+        self.order = np.full(self.n_symbols, LAST, np.int32)
+        own = np.fromiter(plain.values(), np.int64, len(plain))
+        self.order[own] = np.unique([self.rank(piece) for piece in plain], return_inverse=True)[1]
+        keys = np.array([a * self.n_symbols + b for a, b in made], np.int64)
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.slot_key, self.slot_piece = U(64 - bits), np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        for key, at, piece in zip(keys.tolist(), (keys.astype(U) * U(GOLDEN) >> self.shift).tolist(), made.values(), strict=True):
+            while self.slot_key[at] >= 0:
+                at = at + 1 & (1 << bits) - 1
+            self.slot_key[at], self.slot_piece[at] = key, piece
+
+    def _union(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pieces that pairs of symbols make, -1 for none."""
+        key = a.astype(np.int64) * self.n_symbols + b
+        at = (key.astype(U) * U(GOLDEN) >> self.shift).astype(np.int64)
+        there, out = self.slot_key[at], self.slot_piece[at]
+        wrong = np.flatnonzero((there != key) & (there >= 0))
+        while len(wrong):
+            at[wrong] = at[wrong] + 1 & len(self.slot_key) - 1
+            there = self.slot_key[at[wrong]]
+            out[wrong] = self.slot_piece[at[wrong]]
+            wrong = wrong[(there != key[wrong]) & (there >= 0)]
+        return out
+
+    def _many(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
+        """``_chunk`` for many places at once: a round merges the next candidate of each. Chunks have SHORT signs at most.
+
+        Whether a span is skipped depends on its place alone, so it is left out when it comes into being.
+        """
+        out: list[bytes] = [b""] * len(chunks)
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        by_length = np.argsort(length, kind="stable")
+        begin = 0
+        while begin < len(chunks):
+            widest = max(8, int(length[by_length[begin]]) * 5 // 4)
+            some = by_length[begin : min(begin + 16_384, int(np.searchsorted(length[by_length], widest, "right")))]
+            begin += len(some)
+            for i, ids in zip(some.tolist(), self._merged([chunks[i] for i in some.tolist()], length[some], keys[some]), strict=True):
+                out[i] = self._chunk(chunks[i], int(keys[i])) if ids is None else ids
+        return out
+
+    def _merged(self, chunks: list[str], length: np.ndarray, keys: np.ndarray) -> Iterator[bytes | None]:
+        """Ids of each chunk; None where a sign is left that is no piece."""
+        n, width, none = len(chunks), int(length.max()), self.n_symbols - 1
+        inside = np.arange(width) < length[:, None]
+        symbol = np.full((n, width + 1), none, np.int32)
+        symbol[:, :width][inside] = self.sign[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        # flat: a place is row * step + start; the place after the last one holds a sign that joins nothing
+        step = width + 1
+        symbol = symbol.ravel()
+        after = (np.arange(n * step) % step + 1).astype(np.int64)
+        before = after - 2
+        piece, order = np.full(n * step, -1, np.int32), np.full(n * step, LAST, np.int32)
+
+        def propose(row: np.ndarray, at: np.ndarray, to: np.ndarray, end: np.ndarray) -> None:
+            """What the symbols at ``at`` and ``to`` make, up to ``end``, unless it is skipped at this place."""
+            here = row * step + at
+            made = self._union(symbol[here], symbol[row * step + to])
+            if self.bar:
+                found = np.flatnonzero(made >= 0)
+                span = at[found].astype(U) << U(32) | end[found].astype(U)
+                made[found[(keys[row[found]] ^ span) * U(GOLDEN) < U(self.bar)]] = -1
+            piece[here] = made
+            order[here] = np.where(made >= 0, self.order[made], LAST)
+
+        row, at = np.nonzero(inside[:, 1:])
+        propose(row, at, at + 1, at + 2)
+        table, live = order.reshape(n, step), np.arange(n)
+        while len(live):
+            at = table[live].argmin(1)
+            open_ = table[live, at] != LAST
+            live, at = live[open_], at[open_]
+            here = live * step + at
+            to = after[here]
+            end = after[live * step + to]
+            symbol[here], after[here] = piece[here], end
+            order[live * step + to], symbol[live * step + to] = LAST, -1
+            last = end >= length[live]
+            before[(live * step + end)[~last]] = at[~last]
+            order[here[last]] = LAST
+            r, a, b = live[~last], at[~last], end[~last]
+            propose(r, a, b, after[r * step + b])
+            first = at > 0
+            r, b, e = live[first], at[first], end[first]
+            a = before[r * step + b]
+            propose(r, a, b, e)
+        left = symbol.reshape(n, step)[:, :width]
+        kept = inside & (left >= 0)
+        plain = ~(kept & (left >= self.n_plain)).any(1)
+        flat, ends = left[kept].tobytes(), np.cumsum(kept.sum(1) * 4)
+        for a, b, whole in zip([0, *ends[:-1].tolist()], ends.tolist(), plain.tolist(), strict=True):
+            yield flat[a:b] if whole else None
+
     def _chunk(self, chunk: str, key: int | None, trace: list[int] | None = None, skips: frozenset[int] = frozenset()) -> bytes:
         """Ids of a chunk at the place that ``key`` stands for; without a key ``skips`` are skipped."""
         if chunk == SPACE:
@@ -168,7 +273,17 @@ class Codec:
         return who[first], at[hit[first]]
 
     def packed_many(self, texts: Sequence[str | None], variants: Sequence[int], documents: Sequence[object]) -> list[bytes]:
-        """Ids of many texts as 32-bit numbers. All places draw at once, then those that skip go on with what follows for them."""
+        """Ids of many texts as 32-bit numbers, some AT_ONCE signs at a time."""
+        out, begin, n = [], 0, 0
+        for i, text in enumerate(texts):
+            n += len(text or "")
+            if n >= AT_ONCE or i == len(texts) - 1:
+                out += self._packed(*(x[begin : i + 1] for x in (texts, variants, documents)))
+                begin, n = i + 1, 0
+        return out
+
+    def _packed(self, texts: Sequence[str | None], variants: Sequence[int], documents: Sequence[object]) -> list[bytes]:
+        """All places draw at once, then those that skip go on with what follows for them."""
         known, sizes, chunks = self.known, [], []
         for text in texts:
             own = self.chunks(" " + text) if text else []
@@ -186,6 +301,7 @@ class Codec:
         keys ^= keys >> U(27)
         nodes = list(map(known.get, chunks))
         alone: dict[int, bytes] = {}  # places whose chunk is too long to be known, or for which there is no room
+        waiting: list[int] = []  # of these, the places that are merged together
         if None in nodes:
             for i, node in enumerate(nodes):
                 if node is None:
@@ -194,7 +310,11 @@ class Codec:
                     if node < 0 and len(c) <= SHORT and (node := self._node(c, ())) >= 0:
                         known[c] = node
                     if node < 0:
-                        alone[i] = self._chunk(c, int(keys[i]))
+                        alone[i] = b""
+                        if len(c) <= SHORT and c != SPACE:
+                            waiting.append(i)
+                        else:
+                            alone[i] = self._chunk(c, int(keys[i]))
                     nodes[i] = max(node, 0)
         if self.bar:
             where = np.arange(len(chunks))
@@ -218,7 +338,7 @@ class Codec:
                         if new >= 0:
                             self.more[name] = new
                         else:
-                            alone[i] = self._chunk(chunks[i], int(keys[i]))
+                            waiting.append(i)
                     nodes[i] = max(new, 0)
                     after.append(new)
                 node = np.array(after, np.int64)
@@ -230,6 +350,8 @@ class Codec:
         ids = list(map(self.ids.__getitem__, nodes)) if self.ids else [b""] * len(nodes)
         for i, own in alone.items():
             ids[i] = own
+        for i, own in zip(waiting, self._many([chunks[i] for i in waiting], keys[waiting]), strict=True):
+            ids[i] = own
         return [b"".join(ids[a : a + n]) for a, n in zip(first.tolist(), sizes, strict=True)]
 
     def _settle(self) -> None:

@@ -159,3 +159,28 @@ def test_a_worker_keeps_one_stage_in_memory():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "tag": [2], "text": ["some words of a text"]})
     assert sum(b.num_rows for b in neardup.fingerprints(3)(iter([batch]))) == 1
     assert pieces.codec.cache_info().currsize == 0
+
+
+def test_places_that_memory_does_not_hold_are_merged_together(monkeypatch):
+    """Each such place was merged alone; together they give the ids of the plain agenda, whatever the length and the signs."""
+    proto = Path(pieces.MODEL).read_bytes()
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aaeeinorstlmcd,.ß한é9") for _ in range(rng.randint(1, pieces.SHORT - 1))) for _ in range(400)]
+    texts = ["international cooperation of the committees, " * 3 + " ".join(words), "", None, "  two  spaces ▁ and\ttabs\n", " ".join(words[:50]), "x"]
+    for rate in (0.0, 0.1, 0.5):
+        own = pieces.Codec(proto, rate=rate)
+        own.room = 0
+        keys = np.array([rng.getrandbits(64) for _ in words], np.uint64)
+        assert own._many(words, keys) == [own._chunk(w, int(k)) for w, k in zip(words, keys, strict=True)]
+        held = pieces.Codec(proto, rate=rate)
+        want = held.packed_many(texts, [0] * 6, list(range(6)))
+        monkeypatch.setattr(pieces, "AT_ONCE", 7)
+        assert own.packed_many(texts, [0] * 6, list(range(6))) == want
+        monkeypatch.undo()
+    alone = []
+    plain = pieces.Codec(proto)
+    plain.room = 0
+    short = plain._short
+    monkeypatch.setattr(plain, "_short", lambda *a: alone.append(a) or short(*a))
+    plain.packed_many(["some words that nobody holds"] * 9, [0] * 9, list(range(9)))
+    assert not alone
