@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archweave.functions import text as T
-from archweave.graph import GraphError
+from archweave.graph import Graph, GraphError
 from archweave.operators import aggregate as A
 from archweave.operators import build, compare, declarations, entities, events, select, traverse, validate
 from archweave.operators import flows as flows_of
@@ -368,6 +368,20 @@ def test_flows_read_without_shuffle(spark, monkeypatch, tmp_path):
     assert {(r["graph_id"], r["entry"], r["id"], r["depth"], r["step"]) for r in flows.collect()} == want
 
 
+def test_flows_links_read_once_a_slice(spark, monkeypatch, tmp_path):
+    """Nodes and entry points come of one pass over links for each slice; a walk steps on nodes that lead on only."""
+    rng = random.Random(7)
+    made = {f"g{i}": random_graph(rng) for i in range(4)}
+    g = documents.parse(spark.createDataFrame([(k, document(*v)) for k, v in made.items()], "graph_id string, value string"))
+    want = {(k, e, i, d, n) for k, v in made.items() for e, s in flow_model(*v).items() for n, (i, d) in enumerate(s, 1)}
+    read = spark.sparkContext.accumulator(0)
+    n = g.links.count()
+    counted = F.udf(lambda x: (read.add(1), x)[1]).asNondeterministic()
+    seen = Graph(g.components, g.links.withColumn("source", counted("source")), *(getattr(g, x) for x in ("external_links", "domains", "custom_types", "graphs")))
+    got = {(r["graph_id"], r["entry"], r["id"], r["depth"], r["step"]) for r in flows_of.flows(seen).collect()}
+    assert got == want and read.value <= flows_of.SLICES * n
+
+
 def at_root(spark, root):
     rounds = Rounds(spark)
     rounds.root = f"file://{root}"
