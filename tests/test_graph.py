@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,6 +383,16 @@ def test_flows_links_read_once_a_slice(spark, monkeypatch, tmp_path):
     assert got == want and read.value <= flows_of.SLICES * n
 
 
+def test_flows_large_parts():
+    """No link is lost where nodes times targets of a part pass 32 bits."""
+    n, rng = 400_000, random.Random(3)
+    own = {"graph_id": pa.array(["g"]).take(pa.array([0] * n)), "id": pa.array([f"n{i}" for i in range(n)])}
+    none = pa.nulls(n, pa.string())
+    here = pa.RecordBatch.from_pydict({"graph_id": own["graph_id"], "role": pa.array([flows_of.COMPONENT] * n, pa.int32()), "id": own["id"], "ord": pa.nulls(n, pa.int64()), "target": none, "type": none})
+    links = pa.RecordBatch.from_pydict({"graph_id": own["graph_id"], "role": pa.array([flows_of.LINK] * n, pa.int32()), "id": own["id"], "ord": pa.array(range(n)), "target": pa.array([f"t{rng.randrange(n)}" for _ in range(n)]), "type": none})
+    assert sum(x for b in flows_of._group(iter([here, links])) for x in b["n_targets"].to_pylist()) == n
+
+
 def at_root(spark, root):
     rounds = Rounds(spark)
     rounds.root = f"file://{root}"
